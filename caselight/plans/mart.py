@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from caselight import fixed_values as fv
@@ -58,6 +60,15 @@ class Mart:
             return model.symptom_bg(self.reports_symptoms)
         raise KeyError(name)
 
+    def build_all(self) -> None:
+        """Write every table; those that do not need each other are written side by side, so
+        the tail of one job does not leave the cluster idle."""
+        independent = ["reports", "reports_vax", "vax_details", "symptoms"]
+        with ThreadPoolExecutor(len(independent)) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(self.table), independent))
+        for name in MODEL_TABLES:
+            self.table(name)
+
     reports = property(lambda self: self.table("reports"))
     reports_vax = property(lambda self: self.table("reports_vax"))
     vax_details = property(lambda self: self.table("vax_details"))
@@ -92,8 +103,7 @@ def build_model(
         found = mart.table("vocabulary").count()
         if found > max_terms:
             raise ModelError(f"vocabulary of {found} terms exceeds {max_terms}")
-    for name in MODEL_TABLES:
-        mart.table(name)
+    mart.build_all()
     failed = failing_checks(mart)
     if failed:
         raise ModelError("; ".join(f"{check}: {n}" for check, n in failed))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from caselight import fixed_values as fv
 from caselight.functions.derive import is_followup, is_primary, onset_delay, surviving_history
-from caselight.functions.text import is_blank, trim_spaces
+from caselight.functions.text import trim_spaces
 
 CASE_ID = fv.CASE_ID
 COMBO_SEPARATOR = "::"
@@ -95,7 +95,7 @@ def vax_details(vaccines: DataFrame) -> DataFrame:
 def term_lines(terms: DataFrame, *keep: str) -> DataFrame:
     """The five term columns as rows: ``keep`` columns plus a trimmed, non-blank SYMPTOM."""
     wide = F.array(*[trim_spaces(F.col(f"SYMPTOM{i}")) for i in range(1, 6)])
-    return terms.select(*keep, F.explode(wide).alias("SYMPTOM")).filter(~is_blank(F.col("SYMPTOM")))
+    return terms.select(*keep, F.explode(wide).alias("SYMPTOM")).filter("SYMPTOM <> ''")
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:

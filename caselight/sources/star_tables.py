@@ -28,13 +28,26 @@ def raw_tables(spark: SparkSession, folder: str) -> RawTables:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
+    lines = spread(read("lineitem"))
     return RawTables(
-        submissions=_submissions(read("orders"), read("customer"), read("nation"), read("documents")),
-        vaccines=_vaccines(read("lineitem"), read("part")),
-        terms=_terms(read("lineitem"), read("part"), read("supplier")),
+        submissions=_submissions(
+            spread(read("orders")), read("customer"), read("nation"), read("documents")
+        ),
+        vaccines=_vaccines(lines, read("part")),
+        terms=_terms(lines, read("part"), read("supplier")),
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deal rows to all cores when a table has fewer files than there are cores.
+
+    A file of one row group is read by one task, which would then also do all the work after
+    the scan. Tables of many files, the case at scale, are left as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def padded_id(key: Column) -> Column:
     """Seven digits, zero padded; longer keys are kept whole."""
     text = key.cast("string")
