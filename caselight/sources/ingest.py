@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,16 +137,7 @@ def ingest(
     require_distinct_names(files)
     if not files:
         raise FeedError("no feed files to load")
-    headers: dict[FeedFile, tuple[str, ...]] = {}
-    for file in files:
-        try:
-            header = header_of(spark, file)
-            lacking = missing_columns(file, header)
-            if lacking:
-                raise FeedError(f"lacks {', '.join(lacking)}")
-            headers[file] = header
-        except Exception as error:  # noqa: BLE001 - a bad file must not stop the others
-            report.failed[file.name] = str(error)
+    headers = _headers(spark, files, report)
     run = uuid.uuid4().hex
     for table in TABLE_COLUMNS:
         chosen = {f: h for f, h in headers.items() if f.table == table}
@@ -155,6 +148,28 @@ def ingest(
     return report
 
 
+def _headers(
+    spark: SparkSession, files: list[FeedFile], report: IngestReport
+) -> dict[FeedFile, tuple[str, ...]]:
+    """Headers of the usable files; a bad file is noted and does not stop the others."""
+
+    def header(file: FeedFile) -> tuple[str, ...] | None:
+        try:
+            found = header_of(spark, file)
+            lacking = missing_columns(file, found)
+            if not lacking:
+                return found
+            report.failed[file.name] = f"lacks {', '.join(lacking)}"
+        except Exception as error:  # noqa: BLE001
+            report.failed[file.name] = str(error)
+        return None
+
+    # each is a tiny job that reads one line
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(header), files))
+    return {f: h for f, h in zip(files, found) if h is not None}
+
+
 def _files(spark, source, prefix: str, report: IngestReport) -> list[FeedFile]:
     if isinstance(source, str):
         return list_feed(spark, [source], prefix)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ from caselight.operators import cases, drilldown, panels, profile, signals
 from caselight.operators.filters import FilterSpec, matching_cases
 from caselight.plans import checks, model
 from caselight.plans.mart import Mart, session_mart
+from caselight.session import shared_folder
+from caselight.sources import feed
+from caselight.sources.ingest import bronze_table, ingest
 from caselight.sources.star_tables import raw_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,3 +424,113 @@ on_mart("top_terms_for_type", lambda mart: signals.top_terms_for_type(mart, "PRO
         oracle.sql("""SELECT SYMPTOM, count(*) AS n FROM reports_symptoms JOIN symptoms USING (SYMPTOM_ID)
           WHERE CASE_ID IN (SELECT CASE_ID FROM reports_vax WHERE VAX_TYPE = 'PROMO')
           GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"""))
+
+
+# --- ingest: the raw tables written out as feed files, then loaded again -----------------------
+# Files before 2000 have no ORDER column; every 77th case has an impossible RECVDATE.
+
+_feeds: dict[tuple[str, str], str] = {}
+_loads: dict[tuple, str] = {}
+_SPECIAL = "".join(c for c in fv.CP1252_HIGH if c != "�")
+_SPECIAL_BYTES = "".join(chr(0x80 + i) for i, c in enumerate(fv.CP1252_HIGH) if c != "�")
+
+
+def _as_feed_text(df: DataFrame) -> DataFrame:
+    """All columns as the texts a feed file holds."""
+    def text(column: str):
+        value = F.col(column)
+        if column == "RECVDATE":
+            broken = F.regexp_extract(fv.CASE_ID, r"(\d+)$", 1).cast("bigint") % 77 == 0
+            return F.when(broken, "13/45/2020").otherwise(F.date_format(value, "MM/dd/yyyy"))
+        if column in fv.DATE_COLUMNS:
+            return F.date_format(value, "M/d/yyyy")
+        if column == "SYMPTOM_TEXT":
+            plain = F.regexp_replace(value, "[\u0080-\u009f]", "?")
+            return F.translate(plain, _SPECIAL, _SPECIAL_BYTES)
+        return value.cast("string")
+
+    return df.select(*[text(c).alias(c) for c in df.columns])
+
+
+def _feed_of(spark: SparkSession, folder: str) -> str:
+    """Folder with one CSV folder per feed file, written once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key in _feeds:
+        return _feeds[key]
+    target = f"{shared_folder(spark)}/caselight/{key[0]}/feed-{uuid.uuid4().hex}"
+    raw = raw_tables(spark, folder)
+    for df in (raw.submissions, raw.vaccines, raw.terms):
+        named = df.withColumn("file", F.regexp_replace("FILE_NAME", "CSV$", "csv"))
+        recent = F.col("FILE_NAME") >= "2000"
+        dropped = ["IS_DOMESTIC", "FILE_NAME", "FILE_LINE_NO"]
+        for rows, part in ((named.filter(recent), "recent"), (named.filter(~recent), "old")):
+            rows = rows.drop(*dropped)
+            rows = rows.withColumnRenamed("REPORT_ORDER", "ORDER") if part == "recent" else rows.drop("REPORT_ORDER")
+            _as_feed_text(rows).write.partitionBy("file").mode("append").options(
+                header="true", encoding="ISO-8859-1", escape='"',
+                ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+            ).csv(f"{target}/{part}")
+    _feeds[key] = target
+    return target
+
+
+def _bronze_of(spark: SparkSession, folder: str, split_bytes: int = feed.SPLIT_BYTES, twice: bool = False) -> str:
+    key = (spark.sparkContext.applicationId, folder, split_bytes, twice)
+    if key not in _loads:
+        source = _feed_of(spark, folder)
+        bronze = f"{source}-bronze-{uuid.uuid4().hex}"
+        ingest(spark, source, bronze, split_bytes=split_bytes)
+        if twice:
+            # the recent files come in again: they replace themselves, the old ones stay
+            ingest(spark, f"{source}/recent", bronze, append=True)
+        _loads[key] = bronze
+    return _loads[key]
+
+
+def on_bronze(name: str, ask: Callable[[SparkSession, str], DataFrame], sql: str, **how) -> None:
+    CATALOG[name] = Entry(lambda spark, folder: ask(spark, _bronze_of(spark, folder, **how)), sql)
+
+
+def _bronze(table: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, bronze: bronze_table(spark, bronze, table).drop("FILE_LINE_NO")
+
+
+_KEY_NUMBER = "CAST(regexp_extract(CASE_ID, '[0-9]+$') AS BIGINT)"
+_LOADED_ORDER = "CASE WHEN FILE_NAME >= '2000' THEN coalesce(REPORT_ORDER, 1) ELSE 1 END AS REPORT_ORDER"
+_LOADED_TEXT = ("regexp_replace(nullif(regexp_replace(SYMPTOM_TEXT, '\\r\\n?', chr(10), 'g'), ''), "
+                f"'[^\\x{{01}}-\\x{{7f}}\\x{{a0}}-\\x{{ff}}{_SPECIAL}]', '?', 'g') AS SYMPTOM_TEXT")
+
+
+def _loaded(table: str, columns: list[str]) -> str:
+    """The raw table as it reads after the trip through feed files."""
+    changed = {"REPORT_ORDER": _LOADED_ORDER, "SYMPTOM_TEXT": _LOADED_TEXT,
+               "RECVDATE": f"CASE WHEN {_KEY_NUMBER} % 77 <> 0 THEN RECVDATE END AS RECVDATE"}
+    typed = {*fv.DATE_COLUMNS, *fv.DOUBLE_COLUMNS, *fv.INTEGER_COLUMNS, "CASE_ID", "FILE_NAME", "IS_DOMESTIC"}
+    shown = [changed.get(c) or (c if c in typed else f"nullif({c}, '') AS {c}")
+             for c in [*columns, "REPORT_ORDER", "IS_DOMESTIC", "FILE_NAME"]]
+    return oracle.raw_sql(f"SELECT {', '.join(shown)} FROM {table}")
+
+
+for _table, _columns in feed.TABLE_COLUMNS.items():
+    on_bronze(f"ingest_{_table}", _bronze(_table), _loaded(_table, _columns))
+    on_bronze(f"ingest_{_table}_in_blocks", _bronze(_table), _loaded(_table, _columns), split_bytes=0)
+on_bronze("ingest_replace_by_file", _bronze("submissions"), _loaded("submissions", fv.SUBMISSION_COLUMNS), twice=True)
+on_bronze(
+    "ingest_line_numbers",
+    lambda spark, bronze: bronze_table(spark, bronze, "submissions").groupBy("FILE_NAME").agg(
+        F.count("*").alias("n"), F.min("FILE_LINE_NO").cast("bigint").alias("first_line"),
+        F.max("FILE_LINE_NO").cast("bigint").alias("last_line"), F.count_distinct("FILE_LINE_NO").alias("lines")),
+    oracle.raw_sql("""SELECT FILE_NAME, count(*) AS n, CAST(1 AS BIGINT) AS first_line, count(*) AS last_line,
+      count(*) AS lines FROM submissions GROUP BY 1"""),
+    split_bytes=0)
+on_bronze(
+    "ingest_summary",
+    lambda spark, bronze: spark.read.parquet(f"{bronze}/import_summary").drop("logged_at"),
+    oracle.raw_sql(" UNION ALL ".join(
+        f"""SELECT FILE_NAME AS file_name, '{t}' AS table_name, count(*) AS rows_imported,
+          CAST(0 AS BIGINT) AS rows_rejected FROM {t} GROUP BY 1""" for t in feed.TABLE_COLUMNS)))
+on_bronze(
+    "ingest_unparseable",
+    lambda spark, bronze: spark.read.parquet(f"{bronze}/unparseable").drop("logged_at"),
+    oracle.raw_sql(f"""SELECT FILE_NAME, 'RECVDATE' AS "column", count(*) AS bad, 'submissions' AS table_name
+      FROM submissions WHERE {_KEY_NUMBER} % 77 = 0 GROUP BY 1"""))
