@@ -38,10 +38,6 @@ def sex_label(sex: Column) -> Column:
     return F.coalesce(F.nullif(sex, F.lit("")), F.lit("U"))
 
 
-def month_label(date: Column) -> Column:
-    return F.date_format(date, "yyyy-MM")
-
-
 def iso_date(date: Column) -> Column:
     return F.date_format(date, "yyyy-MM-dd")
 
@@ -51,27 +47,27 @@ def flagged(pair: tuple[str, str]) -> Column:
     return F.col(column) == value
 
 
-def age_bucket(age: Column) -> Column:
-    """Half-open age buckets; NULL and negative ages fall in none."""
-    first, *rest = fv.AGE_BUCKETS.items()
-    chain = F.when(_in_range(age, *first[1]), first[0])
-    for label, bounds in rest:
-        chain = chain.when(_in_range(age, *bounds), label)
-    return chain
+def sql_flagged(pair: tuple[str, str]) -> str:
+    column, value = pair
+    return f"{column} = '{value}'"
 
 
-def _in_range(value: Column, low: int, high: int | None) -> Column:
-    return value >= low if high is None else (value >= low) & (value < high)
+def sql_range_bucket(column: str, buckets: dict[str, tuple[int, int | None]]) -> str:
+    """SQL for the half-open bucket a value falls in; NULL when it falls in none."""
+    cases = [
+        f"WHEN {column} >= {low}" + ("" if high is None else f" AND {column} < {high}") + f" THEN '{label}'"
+        for label, (low, high) in buckets.items()
+    ]
+    return f"CASE {' '.join(cases)} END"
 
 
-def upper_bound_bin(value: Column, bins: dict[str, int | None]) -> Column:
-    """First bin whose (inclusive) upper bound is not exceeded; NULL stays NULL."""
-    chain = F.when(value.isNull(), F.lit(None).cast("string"))
-    for label, upper in bins.items():
-        if upper is None:
-            return chain.otherwise(label)
-        chain = chain.when(value <= upper, label)
-    return chain
+def sql_upper_bound_bin(value: str, bins: dict[str, int | None]) -> str:
+    """SQL for the first bin whose (inclusive) upper bound is not exceeded; NULL stays NULL."""
+    cases = [
+        f"WHEN {value} IS NOT NULL THEN '{label}'" if upper is None else f"WHEN {value} <= {upper} THEN '{label}'"
+        for label, upper in bins.items()
+    ]
+    return f"CASE {' '.join(cases)} END"
 
 
 def outcome_labels() -> Column:

@@ -21,9 +21,12 @@ def trim_spaces(text: Column) -> Column:
     return F.when(ascii_only, F.trim(text)).otherwise(F.trim(text, F.lit(fv.SPACE_SEPARATORS)))
 
 
-def is_blank(text: Column) -> Column:
-    """NULL, empty or only spaces."""
-    return F.coalesce(trim_spaces(text), F.lit("")) == ""
+def sql_trim_spaces(text: str) -> str:
+    """``trim_spaces`` as SQL text."""
+    return (
+        f"CASE WHEN octet_length({text}) = char_length({text}) THEN trim({text}) "
+        f"ELSE trim(BOTH '{fv.SPACE_SEPARATORS}' FROM {text}) END"
+    )
 
 
 def clean_null(text: Column, null_like: Sequence[str] = tuple(fv.NULL_LIKE)) -> Column:
@@ -53,8 +56,7 @@ def first_lines(text: Column, lines: int = fv.EXCERPT_LINES) -> Column:
 def register_sql_functions(spark: SparkSession) -> None:
     """Offer ``clean_null(x)`` to plain SQL users of this session."""
     members = ", ".join("'" + w.replace("'", "''") + "'" for w in ["", *fv.NULL_LIKE])
-    spaces = fv.SPACE_SEPARATORS
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION clean_null(x STRING) RETURNS STRING RETURN "
-        f"CASE WHEN lower(trim(BOTH '{spaces}' FROM x)) NOT IN ({members}) THEN x END"
+        f"CASE WHEN lower({sql_trim_spaces('x')}) NOT IN ({members}) THEN x END"
     )

@@ -1,8 +1,7 @@
 """The named aggregate panels over filtered cases.
 
-A *case panel* is a set of slices: each slice names a label for a case (or NULL when the case
-is not counted). Any number of case panels is counted in ONE scan: ``stack`` turns a case into
-its (panel, position, label) rows and a single map-side-combined aggregate counts them. Fixed
+A *case panel* names, per case, its label or labels (NULL where the case is not counted). Any number of case panels is counted in ONE scan: ``stack`` turns a case into
+its (panel, label) rows and a single map-side-combined aggregate counts them. Fixed
 domains are zero-filled by adding weightless rows before that aggregate, not by a join after.
 
 A *vaccine panel* counts distinct cases per label of a per-case vaccine table. Both sides are
@@ -11,8 +10,8 @@ bucketed by case, so neither the semi join nor the per-case distinct needs an ex
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,28 +20,26 @@ from pyspark.sql.window import Window
 
 from caselight import fixed_values as fv
 from caselight.functions import derive
-from caselight.functions.text import is_blank, trim_spaces
+from caselight.functions.text import sql_trim_spaces
 from caselight.operators.filters import FilterSpec, matching_cases
 from caselight.operators.signals import significant_terms, top_terms
 from caselight.plans.mart import Mart
 
-COUNTS = ["panel", "pos", "label", "n"]
 
 
 @dataclass(frozen=True)
-class Slice:
-    """``label`` of a case in a panel, NULL to leave it out; ``pos`` orders the labels."""
-
-    label: Column
-    pos: Column | None = None
+class CasePanel:
+    """``labels``: SQL for the labels of a case, NULL where it is not counted.
 
+    ``series`` panels are placed by their label (a year or month), the others by ``domain``,
+    the labels shown even when nothing falls on them.
+    """
 
-@dataclass(frozen=True)
-class CasePanel:
     label_name: str
-    slices: Callable[[], list[Slice]]
+    labels: Sequence[str]
     label_type: str = "string"
-    domain: Sequence[object] = ()  # labels shown even when nothing falls on them, in order
+    domain: Sequence[object] = ()
+    series: bool = False
     by_count: bool = False  # most frequent first instead of by position
     top: int | None = None
     drop_zero: bool = False
@@ -50,140 +47,94 @@ class CasePanel:
 
 @dataclass(frozen=True)
 class VaccinePanel:
+    """``label``: SQL over a per-case vaccine table, NULL where a row is not counted."""
+
     label_name: str
     table: str
-    column: str
-    top: int
-    keep: Callable[[Column], Column]
-
-
-def _when(condition: Column, label: Column) -> Column:
-    return F.when(condition, label)
-
-
-def _years(date: str, condition: Column | None = None) -> list[Slice]:
-    year = F.year(date)
-    label = year if condition is None else _when(condition, year)
-    return [Slice(label, year)]
-
-
-def _bins(label: Column, domain: Sequence[object]) -> list[Slice]:
-    return [Slice(label, _position(label, domain))]
-
-
-def _position(label: Column, domain: Sequence[object]) -> Column:
-    return F.array_position(F.array(*[F.lit(str(d)) for d in domain]), label.cast("string"))
-
-
-def _flags(flags: dict[str, Column]) -> list[Slice]:
-    return [
-        Slice(_when(flag, F.lit(name)), F.lit(i)) for i, (name, flag) in enumerate(flags.items(), 1)
-    ]
-
-
-def _non_blank(column: str) -> list[Slice]:
-    return [Slice(_when(F.col(column) != "", F.col(column)))]
+    label: str
+    top: int = fv.TOP_LABELS
 
 
-def _between(value: Column, domain: range) -> Column:
-    return _when(value.between(domain[0], domain[-1]), value)
+def _when(condition: str, label: str) -> str:
+    return f"CASE WHEN {condition} THEN {label} END"
 
 
-def _month() -> list[Slice]:
-    date = F.col("VAX_DATE")
-    return [Slice(derive.month_label(date), F.year(date) * 12 + F.month(date))]
+def _flags(flags: dict[str, str]) -> list[str]:
+    return [_when(condition, f"'{name}'") for name, condition in flags.items()]
 
 
-def _deaths() -> list[Slice]:
-    died = F.col("DIED") == "Y"
-    year = F.year("DATEDIED")
-    # deaths without a date carry the label "missing" at position 0
-    label = F.coalesce(year.cast("string"), F.lit("missing"))
-    return [Slice(_when(died, label), F.coalesce(year, F.lit(0)))]
+def _years(date: str, condition: str = "TRUE") -> CasePanel:
+    return CasePanel("year", [_when(condition, f"year({date})")], "bigint", series=True)
 
 
-def _lag() -> Column:
-    return derive.upper_bound_bin(F.date_diff("RECVDATE", "VAX_DATE"), fv.LAG_BINS)
+def _numbers(name: str, condition: str, value: str, domain: range) -> CasePanel:
+    return CasePanel(name, [_when(condition, value)], "bigint", domain=domain)
 
 
-def _single_year() -> Column:
-    age = F.col("AGE_YRS")
-    return _when((age >= 0) & (age < len(fv.SINGLE_YEARS)), F.floor(age).cast("int"))
+def _bins(name: str, label: str, bins: dict) -> CasePanel:
+    return CasePanel(name, [label], domain=list(bins))
 
 
-def _reactions() -> dict[str, Column]:
-    return {name: derive.flagged(pair) for name, pair in fv.REACTIONS.items()}
+def _top(name: str, column: str) -> CasePanel:
+    return CasePanel(name, [_when(f"{column} <> ''", column)], by_count=True, top=fv.TOP_LABELS)
 
 
-def _history() -> dict[str, Column]:
-    return {name: F.array_contains("HAS_DATA", name) for name in fv.HISTORY_FIELDS}
-
-
-def _missing_dates() -> dict[str, Column]:
-    return {"missing": F.col("VAX_DATE").isNull(), "total": F.lit(True)}
+def _flag_panel(name: str, flags: dict[str, str], **how) -> CasePanel:
+    return CasePanel(name, _flags(flags), domain=list(flags), **how)
 
 
 CASE_PANELS: dict[str, CasePanel] = {
-    "total": CasePanel("label", lambda: _flags({"total": F.lit(True)}), domain=["total"]),
-    "reactions": CasePanel("reaction", lambda: _flags(_reactions()), by_count=True, drop_zero=True),
-    "events_by_year": CasePanel("year", lambda: _years("VAX_DATE"), "bigint"),
-    "sparkline": CasePanel("period", _month),
-    "onset_days": CasePanel(
-        "day", lambda: _bins(_between(F.col("NUMDAYS"), fv.ONSET_DAYS), fv.ONSET_DAYS), "bigint",
-        domain=fv.ONSET_DAYS),
-    "num_vax": CasePanel(
-        "num", lambda: _bins(_between(F.col("NUM_VAX"), fv.NUM_VAX_RANGE), fv.NUM_VAX_RANGE),
-        "bigint", domain=fv.NUM_VAX_RANGE),
-    "age": CasePanel(
-        "label", lambda: _bins(derive.age_bucket(F.col("AGE_YRS")), list(fv.AGE_BUCKETS)),
-        domain=list(fv.AGE_BUCKETS)),
-    "age_u20": CasePanel(
-        "age", lambda: _bins(_single_year(), fv.SINGLE_YEARS), "bigint", domain=fv.SINGLE_YEARS),
-    "sex": CasePanel("sex", lambda: [Slice(derive.sex_label(F.col("SEX")))], by_count=True),
-    "states": CasePanel("state", lambda: _non_blank("STATE"), by_count=True, top=fv.TOP_LABELS),
-    "lag": CasePanel("bucket", lambda: _bins(_lag(), list(fv.LAG_BINS)), domain=list(fv.LAG_BINS)),
-    "deaths": CasePanel("year", _deaths, domain=["missing"]),
-    "v_adminby": CasePanel(
-        "label", lambda: _non_blank("V_ADMINBY"), by_count=True, top=fv.TOP_LABELS),
-    "v_fundby": CasePanel(
-        "label", lambda: _non_blank("V_FUNDBY"), by_count=True, top=fv.TOP_LABELS),
-    "vax_combos": CasePanel(
-        "label", lambda: [Slice(F.col("VAX_COMBO"))], by_count=True, top=fv.TOP_LABELS),
-    "has_data": CasePanel("label", lambda: _flags(_history()), by_count=True, drop_zero=True),
-    "events_by_recvdate": CasePanel("year", lambda: _years("RECVDATE"), "bigint"),
-    "no_vaxdate_by_recvdate": CasePanel(
-        "year", lambda: _years("RECVDATE", F.col("VAX_DATE").isNull()), "bigint"),
-    "no_vaxdate_pct": CasePanel(
-        "label", lambda: _flags(_missing_dates()), domain=["missing", "total"]),
-    "died_series": CasePanel("year", lambda: _years("VAX_DATE", F.col("DIED") == "Y"), "bigint"),
-    "followup_dist": CasePanel(
-        "bucket",
-        lambda: _bins(
-            derive.upper_bound_bin(F.col("FOLLOWUP_COUNT"), fv.FOLLOWUP_BINS), list(fv.FOLLOWUP_BINS)),
-        domain=list(fv.FOLLOWUP_BINS)),
+    "total": _flag_panel("label", {"total": "TRUE"}),
+    "reactions": _flag_panel(
+        "reaction", {name: derive.sql_flagged(pair) for name, pair in fv.REACTIONS.items()},
+        by_count=True, drop_zero=True),
+    "events_by_year": _years("VAX_DATE"),
+    "sparkline": CasePanel("period", ["date_format(VAX_DATE, 'yyyy-MM')"], series=True),
+    "onset_days": _numbers("day", "NUMDAYS BETWEEN 0 AND 19", "NUMDAYS", fv.ONSET_DAYS),
+    "num_vax": _numbers("num", "NUM_VAX BETWEEN 1 AND 8", "NUM_VAX", fv.NUM_VAX_RANGE),
+    "age": _bins("label", derive.sql_range_bucket("AGE_YRS", fv.AGE_BUCKETS), fv.AGE_BUCKETS),
+    "age_u20": _numbers(
+        "age", "AGE_YRS >= 0 AND AGE_YRS < 20", "CAST(floor(AGE_YRS) AS INT)", fv.SINGLE_YEARS),
+    "sex": CasePanel("sex", ["coalesce(nullif(SEX, ''), 'U')"], by_count=True),
+    "states": _top("state", "STATE"),
+    "lag": _bins(
+        "bucket", derive.sql_upper_bound_bin("datediff(RECVDATE, VAX_DATE)", fv.LAG_BINS), fv.LAG_BINS),
+    # deaths without a date carry the label "missing", at position 0
+    "deaths": CasePanel(
+        "year", [_when("DIED = 'Y'", "coalesce(CAST(year(DATEDIED) AS STRING), 'missing')")],
+        domain=["missing"], series=True),
+    "v_adminby": _top("label", "V_ADMINBY"),
+    "v_fundby": _top("label", "V_FUNDBY"),
+    "vax_combos": _top("label", "VAX_COMBO"),
+    "has_data": _flag_panel(
+        "label", {name: f"array_contains(HAS_DATA, '{name}')" for name in fv.HISTORY_FIELDS},
+        by_count=True, drop_zero=True),
+    "events_by_recvdate": _years("RECVDATE"),
+    "no_vaxdate_by_recvdate": _years("RECVDATE", "VAX_DATE IS NULL"),
+    "no_vaxdate_pct": _flag_panel("label", {"missing": "VAX_DATE IS NULL", "total": "TRUE"}),
+    "died_series": _years("VAX_DATE", "DIED = 'Y'"),
+    "followup_dist": _bins(
+        "bucket", derive.sql_upper_bound_bin("FOLLOWUP_COUNT", fv.FOLLOWUP_BINS), fv.FOLLOWUP_BINS),
 }
 
 
-def _has_text(column: Column) -> Column:
-    return ~is_blank(column)
-
-
-def _real_lot(column: Column) -> Column:
-    return _has_text(column) & ~F.lower(trim_spaces(column)).isin(fv.JUNK_LOTS)
+def _raw_label(column: str, *excluded: str) -> str:
+    """A raw vaccine attribute that is not blank and not one of the junk spellings."""
+    junk = ", ".join(f"'{text}'" for text in ("", *excluded))
+    return _when(f"lower({sql_trim_spaces(column)}) NOT IN ({junk})", column)
 
 
 VACCINE_PANELS: dict[str, VaccinePanel] = {
-    "vax_types": VaccinePanel(
-        "vax_type", "reports_vax", "VAX_TYPE", fv.TOP_LABELS, lambda c: c.isNotNull()),
+    "vax_types": VaccinePanel("vax_type", "reports_vax", "VAX_TYPE"),
     "manufacturers": VaccinePanel(
-        "manu", "reports_vax", "VAX_MANU", fv.TOP_MANUFACTURERS, lambda c: c != ""),
-    "vax_route": VaccinePanel("label", "vax_details", "VAX_ROUTE", fv.TOP_LABELS, _has_text),
-    "vax_site": VaccinePanel("label", "vax_details", "VAX_SITE", fv.TOP_LABELS, _has_text),
-    "vax_dose_series": VaccinePanel(
-        "label", "vax_details", "VAX_DOSE_SERIES", fv.TOP_LABELS, _has_text),
-    "vax_lot": VaccinePanel("label", "vax_details", "VAX_LOT", fv.TOP_LABELS, _real_lot),
+        "manu", "reports_vax", _when("VAX_MANU <> ''", "VAX_MANU"), fv.TOP_MANUFACTURERS),
+    "vax_route": VaccinePanel("label", "vax_details", _raw_label("VAX_ROUTE")),
+    "vax_site": VaccinePanel("label", "vax_details", _raw_label("VAX_SITE")),
+    "vax_dose_series": VaccinePanel("label", "vax_details", _raw_label("VAX_DOSE_SERIES")),
+    "vax_lot": VaccinePanel("label", "vax_details", _raw_label("VAX_LOT", *fv.JUNK_LOTS)),
 }
 
+
 PANEL_KEYS = [*CASE_PANELS, *VACCINE_PANELS, "symptoms"]
 
 
@@ -208,58 +159,44 @@ def requested_panels(keys: Sequence[object] | None) -> list[str]:
 
 
 def count_cases(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(panel, pos, label, n) of any number of case panels, in one scan of ``cases``."""
-    rows: list[Column] = []
-    slices = 0
-    for key in keys:
-        for part in CASE_PANELS[key].slices():
-            pos = F.lit(None) if part.pos is None else part.pos
-            rows += [F.lit(key), pos.cast("int"), part.label.cast("string")]
-            slices += 1
-    hits = (
-        cases.select(F.stack(F.lit(slices), *rows).alias("panel", "pos", "label"))
-        .filter(F.col("label").isNotNull())
-        .withColumn("n", F.lit(1).cast("bigint"))
+    """(panel, label, pos, n) of any number of case panels, in one scan of ``cases``."""
+    cells = [f"'{key}', CAST({label} AS STRING)" for key in keys for label in CASE_PANELS[key].labels]
+    hits = cases.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (panel, label)").filter(
+        "label IS NOT NULL"
     )
-    zeros = _domain_rows(cases, keys)
-    if zeros is not None:
-        hits = hits.union(zeros)
-    return hits.groupBy("panel", "pos", "label").agg(F.sum("n").alias("n"))
-
-
-def _domain_rows(cases: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    values = [
-        f"('{key}', {i}, '{label}', 0L)"
+    rows = hits.selectExpr("panel", "label", "CAST(NULL AS INT) AS pos", "1L AS n")
+    zeros = [
+        f"('{key}', '{label}', {place}, 0L)"
         for key in keys
-        for i, label in enumerate(CASE_PANELS[key].domain, 0 if key == "deaths" else 1)
+        # a domain label of a series comes before all its years
+        for place, label in enumerate(CASE_PANELS[key].domain, 0 if CASE_PANELS[key].series else 1)
     ]
-    if not values:
-        return None
-    rows = ", ".join(values)
-    return cases.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(panel, pos, label, n)")
+    if zeros:
+        rows = rows.union(cases.sparkSession.sql(f"VALUES {', '.join(zeros)}"))
+    counts = rows.groupBy("panel", "label").agg(F.max("pos").alias("pos"), F.sum("n").alias("n"))
+    series = [f"'{key}'" for key in keys if CASE_PANELS[key].series]
+    if not series:
+        return counts
+    by_label = f"CASE WHEN panel IN ({', '.join(series)}) THEN try_cast(replace(label, '-') AS INT) END"
+    return counts.selectExpr("panel", "label", f"coalesce(pos, {by_label}) AS pos", "n")
 
 
 def count_vaccine_cases(mart: Mart, spec: FilterSpec, keys: Sequence[str]) -> DataFrame:
-    """(panel, pos, label, n): distinct filtered cases per label, one scan per side table."""
+    """(panel, label, pos, n): distinct filtered cases per label, one scan per side table."""
     cases = matching_cases(mart, spec).select(fv.CASE_ID)
     parts = []
     for table in dict.fromkeys(VACCINE_PANELS[k].table for k in keys):
-        panels = {k: VACCINE_PANELS[k] for k in keys if VACCINE_PANELS[k].table == table}
-        cells: list[Column] = []
-        for key, panel in panels.items():
-            value = F.col(panel.column)
-            cells += [F.lit(key), F.when(panel.keep(value), value)]
+        cells = [f"'{k}', {VACCINE_PANELS[k].label}" for k in keys if VACCINE_PANELS[k].table == table]
         parts.append(
             mart.table(table)
             .join(cases, fv.CASE_ID, "left_semi")
-            .select(fv.CASE_ID, F.stack(F.lit(len(panels)), *cells).alias("panel", "label"))
-            .filter(F.col("label").isNotNull())
+            .selectExpr(fv.CASE_ID, f"stack({len(cells)}, {', '.join(cells)}) AS (panel, label)")
+            .filter("label IS NOT NULL")
             .distinct()
             .groupBy("panel", "label")
             .agg(F.count("*").alias("n"))
         )
-    counted = reduce(DataFrame.unionByName, parts)
-    return counted.select("panel", F.lit(None).cast("int").alias("pos"), "label", "n")
+    return reduce(DataFrame.unionByName, parts).selectExpr("panel", "label", "CAST(NULL AS INT) AS pos", "n")
 
 
 # --- single panels ------------------------------------------------------------
@@ -361,68 +298,62 @@ def _ranked(counts: DataFrame, tops: dict[str, int], rate: object) -> DataFrame:
     )
 
 
-def _long(df: DataFrame) -> DataFrame:
-    """Common columns of the view: panel, pos, label, count, bg_n, score."""
-    extra = {"bg_n": "bigint", "score": "double"}
-    for name, kind in extra.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    return df.select("panel", F.col("pos").cast("int").alias("pos"), "label", "count", *extra)
+VIEW_COLUMNS = ["panel", "pos", "label", "count", "bg_n", "score"]
+
+
+def _in_place(counts: DataFrame, keys: Sequence[str], rate: object) -> DataFrame:
+    """Counts of panels without a limit; those ordered by count get their rank as position."""
+    counts = counts.withColumn("count", derive.scaled(F.col("n"), rate))
+    dropping = [k for k in keys if CASE_PANELS[k].drop_zero]
+    if dropping:
+        counts = counts.filter(~F.col("panel").isin(dropping) | (F.col("count") > 0))
+    ranked = [k for k in keys if CASE_PANELS[k].by_count]
+    if ranked:
+        # only a few labels per panel: sex values, outcome flags, history fields, bins
+        is_ranked = F.col("panel").isin(ranked)
+        rank = F.row_number().over(
+            Window.partitionBy("panel").orderBy(F.desc("count"), F.asc_nulls_first("pos"), F.asc("label"))
+        )
+        counts = counts.withColumn("pos", F.when(is_ranked, rank).otherwise(F.col("pos")))
+    return counts
 
 
 def view(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = None) -> DataFrame:
     """Every requested panel in one long DataFrame (panel, pos, label, count, bg_n, score).
 
     ``pos`` is the place within the panel for ranked panels and the natural position (bin,
-    year, month) for the others.
+    year, month) for the others; rows come in no particular order.
     """
     wanted = requested_panels(keys)
     cases = matching_cases(mart, spec)
-    parts = []
-    fixed = [k for k in wanted if k in CASE_PANELS and not CASE_PANELS[k].by_count]
-    flags = [k for k in wanted if k in CASE_PANELS and CASE_PANELS[k].by_count and not CASE_PANELS[k].top]
+    complete = [k for k in wanted if k in CASE_PANELS and not CASE_PANELS[k].top]
     ranked = {k: CASE_PANELS[k].top for k in wanted if k in CASE_PANELS and CASE_PANELS[k].top}
     vaccine = {k: VACCINE_PANELS[k].top for k in wanted if k in VACCINE_PANELS}
-    if fixed or flags:
-        counts = count_cases(cases, fixed + flags).withColumn(
-            "count", derive.scaled(F.col("n"), spec.rate)
-        )
-        drops = [k for k in flags if CASE_PANELS[k].drop_zero]
-        kept = counts.filter(~F.col("panel").isin(drops) | (F.col("count") > 0)) if drops else counts
-        if flags:
-            # a handful of labels per panel: sex values, outcome flags, history fields
-            place = F.row_number().over(
-                Window.partitionBy("panel").orderBy(
-                    F.when(F.col("panel").isin(flags), -F.col("count")).otherwise(F.lit(0)),
-                    F.asc_nulls_first("pos"), F.asc("label"),
-                )
-            )
-            kept = kept.withColumn(
-                "pos", F.when(F.col("panel").isin(flags), place).otherwise(F.col("pos"))
-            )
-        parts.append(kept)
+    plain = ["panel", "CAST(pos AS INT) AS pos", "label", "count"]
+    unscored = ["CAST(NULL AS BIGINT) AS bg_n", "CAST(NULL AS DOUBLE) AS score"]
+    parts = []
+    if complete:
+        parts.append(_in_place(count_cases(cases, complete), complete, spec.rate).selectExpr(*plain, *unscored))
     if ranked:
-        parts.append(_ranked(count_cases(cases, list(ranked)), ranked, spec.rate))
+        parts.append(_ranked(count_cases(cases, list(ranked)), ranked, spec.rate).selectExpr(*plain, *unscored))
     if vaccine:
-        parts.append(_ranked(count_vaccine_cases(mart, spec, list(vaccine)), vaccine, spec.rate))
+        counts = count_vaccine_cases(mart, spec, list(vaccine))
+        parts.append(_ranked(counts, vaccine, spec.rate).selectExpr(*plain, *unscored))
     if "symptoms" in wanted:
-        parts.append(_symptom_rows(symptoms_panel(mart, spec)))
-    return reduce(DataFrame.unionByName, map(_long, parts)).orderBy("panel", "pos", "label")
-
-
-def _symptom_rows(df: DataFrame) -> DataFrame:
-    """The term panel in view columns; at most TOP_LABELS rows, so ranking is one task's work."""
-    renamed = df.withColumnsRenamed({"symptom": "label", "fg_n": "count"})
-    order = [F.desc("count"), F.asc("label")]
-    if "score" in renamed.columns:
-        order = [F.desc("score"), *order]
-    place = F.row_number().over(Window.partitionBy("panel").orderBy(*order))
-    return renamed.withColumn("panel", F.lit("symptoms")).withColumn("pos", place)
+        # at most TOP_LABELS rows, so ranking them is one task's work
+        order = ["count DESC", "label"]
+        if spec.is_active:
+            order, unscored = ["score DESC", *order], ["bg_n", "score"]
+            terms = symptoms_panel(mart, spec).withColumnsRenamed({"symptom": "label", "fg_n": "count"})
+        else:
+            terms = symptoms_panel(mart, spec).withColumnRenamed("symptom", "label")
+        place = f"row_number() OVER (PARTITION BY panel ORDER BY {', '.join(order)}) AS pos"
+        terms = terms.withColumn("panel", F.lit("symptoms"))
+        parts.append(terms.selectExpr("panel", place, "label", "count", *unscored))
+    return reduce(DataFrame.union, parts)
 
 
 def named_view(mart: Mart, spec: FilterSpec, name: str) -> DataFrame:
     """A named panel set (its deferred panels included) on its own date axis."""
-    from dataclasses import replace
-
     first, deferred, axis = fv.VIEWS[name]
     return view(mart, replace(spec, date_field=axis), [*first, *deferred])
