@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from caselight import fixed_values as fv
 from caselight.functions.derive import iso_date, onset_delay, outcome_labels
 from caselight.functions.text import clean_null, first_lines
-from caselight.operators.filters import FilterSpec, matching_cases
+from caselight.operators.filters import FilterSpec, selected_cases
 from caselight.plans.mart import Mart
 from caselight.plans.model import term_lines
 
@@ -62,16 +62,29 @@ def page_count(total: int, size: int = fv.PAGE_SIZE) -> int:
     return max(1, math.ceil(total / size))
 
 
-def case_page(
+def page_keys(
     mart: Mart, spec: FilterSpec, limit: object = None, offset: object = None, sort: PageSort = PageSort()
 ) -> DataFrame:
-    """One page of matching cases; a top-k per partition, never a full sort."""
+    """Ids of one page, in order: a top-k per partition over narrow columns, never a full sort."""
     rows, skip = page_limits(limit, offset)
     return (
-        matching_cases(mart, spec)
+        selected_cases(mart, spec).orderBy(*sort.columns()).offset(skip).limit(rows).select(CASE_ID)
+    )
+
+
+def case_page(
+    mart: Mart, spec: FilterSpec, limit: object = None, offset: object = None, sort: PageSort = PageSort()
+) -> DataFrame:
+    """One page of matching cases.
+
+    The page's ids (at most PAGE_LIMIT_MAX, by the clamp) are found first, without reading a
+    narrative. As literals on the bucketing column they then prune the scan to the few buckets
+    that hold them, so only those narratives are read.
+    """
+    ids = [row[0] for row in page_keys(mart, spec, limit, offset, sort).collect()]
+    return (
+        mart.reports.filter(F.col(CASE_ID).isin(ids))
         .orderBy(*sort.columns())
-        .offset(skip)
-        .limit(rows)
         .select(
             CASE_ID,
             iso_date(F.col("VAX_DATE")).alias("VAX_DATE"),
@@ -83,14 +96,15 @@ def case_page(
 
 def case_total(mart: Mart, spec: FilterSpec, size: int = fv.PAGE_SIZE) -> DataFrame:
     """Matching cases and the number of pages they fill."""
-    return matching_cases(mart, spec).agg(F.count("*").alias("total")).select(
+    return selected_cases(mart, spec).agg(F.count("*").alias("total")).select(
         "total", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint").alias("pages")
     )
 
 
 # --- dossier ------------------------------------------------------------------
-# The three parts stay flat (one row per submission, vaccine or term), each ordered by its
-# columns: a case with very many rows never has to fit one array or one task.
+# The three parts stay flat (one row per submission, vaccine or term), with the columns to
+# order them by: a case with very many rows never has to fit one array or one task, and a
+# dossier of all cases is not sorted as a whole. ``case_dossier`` sorts its one case.
 
 
 def _order() -> Column:
@@ -107,7 +121,7 @@ def _chosen(df: DataFrame, ids: Iterable[str] | DataFrame | None) -> DataFrame:
 
 
 def dossier_submissions(mart: Mart, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
-    """Every submission of the cases, history cleaned, ordered by report order and line."""
+    """Every submission of the cases, history cleaned."""
     dates = [iso_date(F.col(d)).alias(d) for d in ("RECVDATE", "VAX_DATE", "ONSET_DATE", "DATEDIED")]
     delay = onset_delay(F.col("NUMDAYS"), F.col("VAX_DATE"), F.col("ONSET_DATE")).cast("bigint")
     return (
@@ -119,7 +133,6 @@ def dossier_submissions(mart: Mart, ids: Sequence[str] | DataFrame | None = None
             outcome_labels().alias("OUTCOMES"), "SYMPTOM_TEXT",
             *[clean_null(F.col(f)).alias(f) for f in fv.HISTORY_FIELDS],
         )
-        .orderBy(CASE_ID, "REPORT_ORDER", "FILE_LINE_NO")
     )
 
 
@@ -130,18 +143,13 @@ def dossier_vaccines(mart: Mart, ids: Sequence[str] | DataFrame | None = None) -
             CASE_ID, _order(), "FILE_LINE_NO", "VAX_TYPE", "VAX_NAME", "VAX_MANU", "VAX_LOT",
             "VAX_DOSE_SERIES", "VAX_ROUTE", "VAX_SITE",
         )
-        .orderBy(CASE_ID, "REPORT_ORDER", "FILE_LINE_NO")
     )
 
 
 def dossier_terms(mart: Mart, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
-    """Distinct terms of each submission, in alphabetical order."""
+    """Distinct terms of each submission."""
     chosen = _chosen(mart.raw.terms, ids).withColumn("REPORT_ORDER", _order())
-    return (
-        term_lines(chosen, CASE_ID, "REPORT_ORDER")
-        .distinct()
-        .orderBy(CASE_ID, "REPORT_ORDER", "SYMPTOM")
-    )
+    return term_lines(chosen, CASE_ID, "REPORT_ORDER").distinct()
 
 
 def submission_entries(mart: Mart, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
@@ -157,14 +165,15 @@ def submission_entries(mart: Mart, ids: Sequence[str] | DataFrame | None = None)
     terms = dossier_terms(mart, ids).select(*key, F.lit("term").alias("kind"), F.col("SYMPTOM").alias("label"))
     entries = vaccines.unionByName(terms).groupBy(*key, "kind", "label").agg(F.count("*").alias("lines"))
     submissions = _chosen(mart.raw.submissions, ids).select(CASE_ID, _order()).distinct()
-    return entries.join(submissions, key, "left_semi").orderBy(*key, "kind", "label")
+    return entries.join(submissions, key, "left_semi")
 
 
 def case_dossier(mart: Mart, case_id: str) -> dict[str, DataFrame]:
     """The dossier of one case, looked up by its exact id."""
+    by_line = ["REPORT_ORDER", "FILE_LINE_NO"]
     return {
-        "reports": dossier_submissions(mart, [case_id]),
-        "vaccines": dossier_vaccines(mart, [case_id]),
-        "symptoms": dossier_terms(mart, [case_id]),
-        "entries": submission_entries(mart, [case_id]),
+        "reports": dossier_submissions(mart, [case_id]).orderBy(*by_line),
+        "vaccines": dossier_vaccines(mart, [case_id]).orderBy(*by_line),
+        "symptoms": dossier_terms(mart, [case_id]).orderBy("REPORT_ORDER", "SYMPTOM"),
+        "entries": submission_entries(mart, [case_id]).orderBy("REPORT_ORDER", "kind", "label"),
     }

@@ -226,3 +226,16 @@ def matching_cases(mart: Mart, spec: FilterSpec) -> DataFrame:
             how = "left_anti" if wanted.negated else "left_semi"
             cases = cases.join(_members(mart, wanted), fv.CASE_ID, how)
     return cases
+
+
+def selected_cases(mart: Mart, spec: FilterSpec) -> DataFrame:
+    """``matching_cases`` for questions that do not show narratives.
+
+    Searching narratives reads by far the widest column, so its matches are written once
+    (without narratives) and every panel of the same selection starts from them.
+    """
+    searches_text = query_predicate(spec.query) is not None and not spec.query.isdigit()
+    if not searches_text:
+        return matching_cases(mart, spec)
+    key = replace(spec, rate=None)
+    return mart.selection(key, lambda: matching_cases(mart, spec).drop("SYMPTOM_TEXT"))

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from caselight import fixed_values as fv
 from caselight.functions import derive
 from caselight.functions.text import sql_trim_spaces
-from caselight.operators.filters import FilterSpec, matching_cases
+from caselight.operators.filters import FilterSpec, selected_cases
 from caselight.operators.signals import significant_terms, top_terms
 from caselight.plans.mart import Mart
 
@@ -183,7 +183,7 @@ def count_cases(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def count_vaccine_cases(mart: Mart, spec: FilterSpec, keys: Sequence[str]) -> DataFrame:
     """(panel, label, pos, n): distinct filtered cases per label, one scan per side table."""
-    cases = matching_cases(mart, spec).select(fv.CASE_ID)
+    cases = selected_cases(mart, spec).select(fv.CASE_ID)
     parts = []
     for table in dict.fromkeys(VACCINE_PANELS[k].table for k in keys):
         cells = [f"'{k}', {VACCINE_PANELS[k].label}" for k in keys if VACCINE_PANELS[k].table == table]
@@ -250,7 +250,7 @@ def symptoms_panel(mart: Mart, spec: FilterSpec) -> DataFrame:
     """Most reported terms; over-represented terms as soon as any condition is present."""
     if not spec.is_active:
         return top_terms(mart, spec.rate)
-    return significant_terms(mart, matching_cases(mart, spec), spec.rate)
+    return significant_terms(mart, selected_cases(mart, spec), spec.rate)
 
 
 def panel(mart: Mart, spec: FilterSpec, key: str) -> DataFrame:
@@ -260,7 +260,7 @@ def panel(mart: Mart, spec: FilterSpec, key: str) -> DataFrame:
         return symptoms_panel(mart, spec)
     if key in VACCINE_PANELS:
         return _finish(count_vaccine_cases(mart, spec, [key]), key, spec.rate)
-    return _finish(count_cases(matching_cases(mart, spec), [key]), key, spec.rate)
+    return _finish(count_cases(selected_cases(mart, spec), [key]), key, spec.rate)
 
 
 def run_panels(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = None) -> dict[str, DataFrame]:
@@ -268,7 +268,7 @@ def run_panels(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = Non
     wanted = requested_panels(keys)
     case_keys = [k for k in wanted if k in CASE_PANELS]
     vaccine_keys = [k for k in wanted if k in VACCINE_PANELS]
-    counts = count_cases(matching_cases(mart, spec), case_keys).cache() if case_keys else None
+    counts = count_cases(selected_cases(mart, spec), case_keys).cache() if case_keys else None
     vaccine_counts = count_vaccine_cases(mart, spec, vaccine_keys).cache() if vaccine_keys else None
     frames = {}
     for key in wanted:
@@ -325,7 +325,7 @@ def view(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = None) ->
     year, month) for the others; rows come in no particular order.
     """
     wanted = requested_panels(keys)
-    cases = matching_cases(mart, spec)
+    cases = selected_cases(mart, spec)
     complete = [k for k in wanted if k in CASE_PANELS and not CASE_PANELS[k].top]
     ranked = {k: CASE_PANELS[k].top for k in wanted if k in CASE_PANELS and CASE_PANELS[k].top}
     vaccine = {k: VACCINE_PANELS[k].top for k in wanted if k in VACCINE_PANELS}

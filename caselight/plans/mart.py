@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -13,7 +14,7 @@ from caselight.plans import model
 from caselight.plans.checks import ModelError, failing_checks
 from caselight.session import shared_folder
 from caselight.sources.star_tables import RawTables, raw_tables
-from caselight.sources.store import ModelStore
+from caselight.sources.store import ModelStore, bucket_count
 
 MODEL_TABLES = [
     "reports", "reports_vax", "vax_details", "symptoms", "reports_symptoms", "symptom_bg",
@@ -33,6 +34,7 @@ class Mart:
         self.spark = store.spark
         self._readonly = readonly
         self._tables: dict[str, DataFrame] = {}
+        self._selections: dict[Hashable, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -60,6 +62,12 @@ class Mart:
             return model.symptom_bg(self.reports_symptoms)
         raise KeyError(name)
 
+    def selection(self, key: Hashable, find: Callable[[], DataFrame]) -> DataFrame:
+        """Cases found by a costly search, written once per key and read back from then on."""
+        if key not in self._selections:
+            self._selections[key] = self.store.save(f"selection_{uuid.uuid4().hex}", find())
+        return self._selections[key]
+
     def build_all(self) -> None:
         """Write every table; those that do not need each other are written side by side, so
         the tail of one job does not leave the cluster idle."""
@@ -97,6 +105,8 @@ def build_model(
     buckets: int | None = None,
 ) -> Mart:
     """Write a new version, check it, and only then publish it."""
+    if buckets is None:
+        buckets = bucket_count(spark, raw.submissions, raw.vaccines, raw.terms)
     store = ModelStore(spark, folder, uuid.uuid4().hex, buckets)
     mart = Mart(raw, store)
     if max_terms is not None:
@@ -132,6 +142,7 @@ def session_mart(spark: SparkSession, folder: str) -> Mart:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _session_marts:
         target = f"{shared_folder(spark)}/caselight/{key[0]}"
-        store = ModelStore(spark, target, uuid.uuid4().hex)
-        _session_marts[key] = Mart(raw_tables(spark, folder), store)
+        raw = raw_tables(spark, folder)
+        buckets = bucket_count(spark, raw.submissions, raw.vaccines, raw.terms)
+        _session_marts[key] = Mart(raw, ModelStore(spark, target, uuid.uuid4().hex, buckets))
     return _session_marts[key]

@@ -224,14 +224,15 @@ def _read_blocks(spark: SparkSession, paths: list[str], header: Sequence[str]) -
         line.alias("line"),
     )
     quotes = F.char_length("line") - F.char_length(F.replace("line", F.lit('"')))
-    in_block = Window.partitionBy("path", "block").orderBy("row")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    in_block = Window.partitionBy("path", "block").orderBy("row").rowsBetween(*so_far)
     lines = lines.withColumn("quotes", quotes).withColumn(
         "odd", (F.sum("quotes").over(in_block) - F.col("quotes")) % 2
     )
     # records that start in a block depend on the parity carried into it: count both cases
     opened = {p: F.sum(F.when(F.col("odd") == p, 1).otherwise(0)) for p in (0, 1)}
     lines = lines.withColumns({f"opened_{p}": c.over(in_block) for p, c in opened.items()})
-    along_file = Window.partitionBy("path").orderBy("block")
+    along_file = Window.partitionBy("path").orderBy("block").rowsBetween(*so_far)
     blocks = (
         lines.groupBy("path", "block")
         .agg(F.sum("quotes").alias("quotes"), opened[0].alias("starts_0"), opened[1].alias("starts_1"))

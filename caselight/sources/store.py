@@ -7,6 +7,7 @@ Tables of a version live in the shared folder and survive the loss of executors.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -38,6 +39,9 @@ LAYOUTS = {
 }
 
 
+SELECTION = Layout()
+
+
 class ModelStore:
     def __init__(self, spark: SparkSession, folder: str, version: str, buckets: int | None = None):
         self.spark = spark
@@ -50,11 +54,11 @@ class ModelStore:
 
     def _catalog_name(self, table: str) -> str:
         # the catalog entry only carries the bucketing of the files under path()
-        token = abs(hash((self.folder, self.version)))
-        return f"caselight_{token:x}_{table}"
+        token = hashlib.sha256(f"{self.folder} {self.version}".encode()).hexdigest()[:16]
+        return f"caselight_{token}_{table}"
 
     def save(self, table: str, df: DataFrame) -> DataFrame:
-        layout = LAYOUTS[table]
+        layout = LAYOUTS.get(table, SELECTION)
         if not layout.bucketed:
             df.write.mode("overwrite").parquet(self.path(table))
             return self.load(table)
@@ -71,18 +75,29 @@ class ModelStore:
         return self.load(table)
 
     def load(self, table: str) -> DataFrame:
-        """The written table; with its bucketing if this session's catalog knows it."""
-        if LAYOUTS[table].bucketed and self.spark.catalog.tableExists(self._catalog_name(table)):
-            return self.spark.table(self._catalog_name(table))
-        return self.spark.read.parquet(self.path(table))
-
-    def _log(self) -> str:
-        return f"{self.folder}/published"
+        """The written table, with its bucketing."""
+        if not LAYOUTS.get(table, SELECTION).bucketed:
+            return self.spark.read.parquet(self.path(table))
+        if not self.spark.catalog.tableExists(self._catalog_name(table)):
+            self._attach(table)
+        return self.spark.table(self._catalog_name(table))
+
+    def _attach(self, table: str) -> None:
+        """Tell this session's catalog about bucketed files another session wrote."""
+        layout = LAYOUTS[table]
+        schema = self.spark.read.parquet(self.path(table)).schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        ordered = f"SORTED BY ({', '.join(layout.sort_by)}) " if layout.sort_by else ""
+        self.spark.sql(
+            f"CREATE TABLE {self._catalog_name(table)} ({columns}) USING parquet "
+            f"CLUSTERED BY ({CASE_ID}) {ordered}INTO {self.buckets} BUCKETS LOCATION '{self.path(table)}'"
+        )
 
     def publish(self) -> None:
         self.spark.range(1).select(
-            F.lit(self.version).alias("version"), F.current_timestamp().alias("published_at")
-        ).write.mode("append").parquet(self._log())
+            F.lit(self.version).alias("version"), F.lit(self.buckets).alias("buckets"),
+            F.current_timestamp().alias("published_at"),
+        ).write.mode("append").parquet(f"{self.folder}/published")
 
     @classmethod
     def published(cls, spark: SparkSession, folder: str) -> "ModelStore | None":
@@ -91,5 +106,16 @@ class ModelStore:
             log = spark.read.parquet(f"{folder.rstrip('/')}/published")
         except AnalysisException:
             return None
-        latest = log.agg(F.max_by("version", "published_at")).first()[0]
-        return cls(spark, folder, latest)
+        latest = log.orderBy(F.desc("published_at")).first()
+        return cls(spark, folder, latest.version, latest.buckets)
+
+
+def bucket_count(spark: SparkSession, *inputs: DataFrame, bytes_per_bucket: int = 128 << 20) -> int:
+    """Buckets for a model over ``inputs``: enough for their size (of the files, as the scan
+    reports it), no fewer than the cores, no more than the shuffle partitions."""
+    total = 0
+    for df in inputs:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    wanted = max(-(-total // bytes_per_bucket), spark.sparkContext.defaultParallelism)
+    return min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))

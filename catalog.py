@@ -15,7 +15,7 @@ from caselight import fixed_values as fv
 from caselight.functions.derive import is_primary, onset_delay, outcome_labels
 from caselight.functions.text import clean_null
 from caselight.operators import cases, drilldown, panels, profile, signals
-from caselight.operators.filters import FilterSpec, matching_cases
+from caselight.operators.filters import FilterSpec, matching_cases, predicates
 from caselight.plans import checks, model
 from caselight.plans.mart import Mart, session_mart
 from caselight.session import shared_folder
@@ -290,7 +290,17 @@ for _name, (_first, _deferred, _axis) in fv.VIEWS.items():
 
 
 def drilled(mart: Mart, panel: str, labels: list) -> DataFrame:
-    """(label, cases) selected by clicking each label of a panel."""
+    """(label, cases) selected by clicking each label of a panel, all counted in one scan."""
+    cells = []
+    for label in labels:
+        conditions = predicates(drilldown.drill(NO_FILTER, panel, label))
+        cells += [F.lit(str(label)), F.count_if(reduce(lambda a, b: a & b, conditions))]
+    counts = mart.reports.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    return counts.select(F.stack(F.lit(len(labels)), *map(F.col, counts.columns)).alias("label", "cases"))
+
+
+def drilled_members(mart: Mart, panel: str, labels: list) -> DataFrame:
+    """The same for labels held in a side table."""
     totals = [
         matching_cases(mart, drilldown.drill(NO_FILTER, panel, label)).agg(F.count("*").alias("cases"))
         .select(F.lit(str(label)).alias("label"), "cases")
@@ -312,13 +322,13 @@ for _key, _labels in {
     "v_fundby": ["BUILDING", "MACHINERY"],
 }.items():
     on_mart(f"drill_{_key}", lambda mart, k=_key, ls=_labels: drilled(mart, k, ls), slices(_key, _labels))
-on_mart("drill_manufacturers", lambda mart: drilled(mart, "manufacturers", ["Brand#1", "Brand#9"]),
+on_mart("drill_manufacturers", lambda mart: drilled_members(mart, "manufacturers", ["Brand#1", "Brand#9"]),
         oracle.sql("""SELECT VAX_MANU AS label, count(DISTINCT CASE_ID) AS cases FROM reports_vax
           WHERE VAX_MANU IN ('Brand#1', 'Brand#9') AND CASE_ID IN (SELECT CASE_ID FROM reports) GROUP BY 1"""))
 on_mart("drill_states", lambda mart: drilled(mart, "states", ["NATION_1", "NATION_2", "NATION_3"]),
         oracle.sql("""SELECT STATE AS label, count(*) AS cases FROM reports
           WHERE STATE IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY 1"""))
-on_mart("drill_symptoms", lambda mart: drilled(mart, "symptoms", ["Brand#1", "MEDIUM"]),
+on_mart("drill_symptoms", lambda mart: drilled_members(mart, "symptoms", ["Brand#1", "MEDIUM"]),
         oracle.sql("""SELECT SYMPTOM AS label, bg_n AS cases FROM symptom_bg JOIN symptoms USING (SYMPTOM_ID)
           WHERE SYMPTOM IN ('Brand#1', 'MEDIUM')"""))
 
@@ -347,6 +357,11 @@ page("by_id", {}, "TRUE", "CAST(CASE_ID AS BIGINT) ASC", 999, 1, "case_id", "asc
 page("unknown_sort_resets", {}, "TRUE", f"VAX_DATE DESC NULLS LAST, {_TIE}", None, None, "STATE", "asc")
 page("with_narrative", {"query": "eau"}, "SYMPTOM_TEXT ILIKE '%eau%'", f"NUM_VAX DESC NULLS LAST, {_TIE}",
      500, 0, "NUM_VAX", "DESC")
+on_mart("panel_states_by_narrative", lambda mart: panels.panel(mart, FilterSpec.from_request({"query": "eau"}), "states"),
+        oracle.panel("states", "SYMPTOM_TEXT ILIKE '%eau%'"))
+on_mart("view_overview_by_narrative",
+        lambda mart: rounded(panels.named_view(mart, FilterSpec.from_request({"query": "eau"}), "overview")),
+        oracle.view(fv.VIEWS["overview"][0], "SYMPTOM_TEXT ILIKE '%eau%'"))
 on_mart("cases_total", lambda mart: cases.case_total(mart, FilterSpec.from_request(SELECTION)),
         oracle.sql("SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) AS pages FROM f",
                    oracle.filtered(SELECTION_SQL)))

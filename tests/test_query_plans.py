@@ -44,8 +44,36 @@ def test_top_labels_never_sort_everything(mart, key):
     assert "TakeOrderedAndProject" in plan(panels.panel(mart, FilterSpec(), key))
 
 
-def test_case_page_is_a_top_k(mart):
-    assert "TakeOrderedAndProject" in plan(cases.case_page(mart, FilterSpec(), 25, 100))
+def test_case_page_is_a_narrow_top_k(mart):
+    text = plan(cases.page_keys(mart, FilterSpec(), 25, 100))
+    assert "TakeOrderedAndProject" in text and "SYMPTOM_TEXT" not in text
+
+
+def test_case_page_reads_only_the_buckets_of_its_cases(mart):
+    # buckets are pruned either way; only a scan planned as bucketed says so
+    mart.spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        text = plan(cases.case_page(mart, FilterSpec(), 1, 0))
+    finally:
+        mart.spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert f"SelectedBucketsCount: 1 out of {mart.store.buckets}" in text
+
+
+def test_narratives_are_searched_once(mart):
+    spec = FilterSpec.from_request({"query": "eau"})
+    assert "SYMPTOM_TEXT" not in plan(panels.named_view(mart, spec, "people"))
+
+
+def test_another_session_sees_the_bucketing(mart, tmp_path):
+    from caselight.plans.mart import build_model, open_model
+
+    build_model(mart.raw, mart.spark, str(tmp_path))
+    other = open_model(mart.spark.newSession(), str(tmp_path))
+    other.spark.sql("DROP TABLE " + other.store._catalog_name("reports"))
+    other._tables.clear()
+    text = plan(other.reports.groupBy("CASE_ID").count())
+    assert "Exchange" not in text and "Bucketed: true" in text
+    assert other.reports.count() == mart.reports.count()
 
 
 def test_vaccine_panel_exchanges_only_its_counts(mart):
