@@ -8,5 +8,5 @@ Layers, lowest first:
 * ``plans``         raw tables -> case model, and the checks that guard a publish
 * ``operators``     filters, drill-downs, panels, significant terms, case page,
                     dossier, field profile
-* ``streaming``     the incremental (replace-by-file) load
+* ``streaming``     empty: the feed has no stream; increments are replaced files
 """

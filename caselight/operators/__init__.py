@@ -1,0 +1 @@
+"""Questions to the case model; each returns a DataFrame."""

@@ -1,0 +1 @@
+"""From raw tables to the published case model."""

@@ -1,0 +1 @@
+"""Where raw rows come from and where tables are kept."""
