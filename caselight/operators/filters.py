@@ -228,14 +228,16 @@ def matching_cases(mart: Mart, spec: FilterSpec) -> DataFrame:
     return cases
 
 
-def selected_cases(mart: Mart, spec: FilterSpec) -> DataFrame:
+def selected_cases(mart: Mart, spec: FilterSpec, reused: bool = False) -> DataFrame:
     """``matching_cases`` for questions that do not show narratives.
 
     Searching narratives reads by far the widest column, so its matches are written once
-    (without narratives) and every panel of the same selection starts from them.
+    (without narratives) and every question to the same selection starts from them. A
+    selection by a side table is written too when several counts are about to reuse it.
     """
     searches_text = query_predicate(spec.query) is not None and not spec.query.isdigit()
-    if not searches_text:
+    joins = any(isinstance(condition(row), Membership) for row in spec.adhoc)
+    if not searches_text and not (reused and joins):
         return matching_cases(mart, spec)
     key = replace(spec, rate=None)
     return mart.selection(key, lambda: matching_cases(mart, spec).drop("SYMPTOM_TEXT"))

@@ -181,9 +181,9 @@ def count_cases(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.selectExpr("panel", "label", f"coalesce(pos, {by_label}) AS pos", "n")
 
 
-def count_vaccine_cases(mart: Mart, spec: FilterSpec, keys: Sequence[str]) -> DataFrame:
+def count_vaccine_cases(mart: Mart, cases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(panel, label, pos, n): distinct filtered cases per label, one scan per side table."""
-    cases = selected_cases(mart, spec).select(fv.CASE_ID)
+    cases = cases.select(fv.CASE_ID)
     parts = []
     for table in dict.fromkeys(VACCINE_PANELS[k].table for k in keys):
         cells = [f"'{k}', {VACCINE_PANELS[k].label}" for k in keys if VACCINE_PANELS[k].table == table]
@@ -246,34 +246,35 @@ def _finish(counts: DataFrame, key: str, rate: object) -> DataFrame:
     return finish(counts, key, rate)
 
 
-def symptoms_panel(mart: Mart, spec: FilterSpec) -> DataFrame:
+def symptoms_panel(mart: Mart, spec: FilterSpec, cases: DataFrame) -> DataFrame:
     """Most reported terms; over-represented terms as soon as any condition is present."""
     if not spec.is_active:
         return top_terms(mart, spec.rate)
-    return significant_terms(mart, selected_cases(mart, spec), spec.rate)
+    return significant_terms(mart, cases, spec.rate)
 
 
 def panel(mart: Mart, spec: FilterSpec, key: str) -> DataFrame:
     """One panel as a DataFrame."""
     requested_panels([key])
+    cases = selected_cases(mart, spec)
     if key == "symptoms":
-        return symptoms_panel(mart, spec)
-    if key in VACCINE_PANELS:
-        return _finish(count_vaccine_cases(mart, spec, [key]), key, spec.rate)
-    return _finish(count_cases(selected_cases(mart, spec), [key]), key, spec.rate)
+        return symptoms_panel(mart, spec, cases)
+    counts = count_vaccine_cases(mart, cases, [key]) if key in VACCINE_PANELS else count_cases(cases, [key])
+    return _finish(counts, key, spec.rate)
 
 
 def run_panels(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = None) -> dict[str, DataFrame]:
     """Several panels; all case panels read one cached count table instead of the cases."""
     wanted = requested_panels(keys)
+    cases = selected_cases(mart, spec, reused=len(wanted) > 1)
     case_keys = [k for k in wanted if k in CASE_PANELS]
     vaccine_keys = [k for k in wanted if k in VACCINE_PANELS]
-    counts = count_cases(selected_cases(mart, spec), case_keys).cache() if case_keys else None
-    vaccine_counts = count_vaccine_cases(mart, spec, vaccine_keys).cache() if vaccine_keys else None
+    counts = count_cases(cases, case_keys).cache() if case_keys else None
+    vaccine_counts = count_vaccine_cases(mart, cases, vaccine_keys).cache() if vaccine_keys else None
     frames = {}
     for key in wanted:
         if key == "symptoms":
-            frames[key] = symptoms_panel(mart, spec)
+            frames[key] = symptoms_panel(mart, spec, cases)
         else:
             frames[key] = _finish(counts if key in CASE_PANELS else vaccine_counts, key, spec.rate)
     return frames
@@ -325,7 +326,7 @@ def view(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = None) ->
     year, month) for the others; rows come in no particular order.
     """
     wanted = requested_panels(keys)
-    cases = selected_cases(mart, spec)
+    cases = selected_cases(mart, spec, reused=len(wanted) > 1)
     complete = [k for k in wanted if k in CASE_PANELS and not CASE_PANELS[k].top]
     ranked = {k: CASE_PANELS[k].top for k in wanted if k in CASE_PANELS and CASE_PANELS[k].top}
     vaccine = {k: VACCINE_PANELS[k].top for k in wanted if k in VACCINE_PANELS}
@@ -337,16 +338,16 @@ def view(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = None) ->
     if ranked:
         parts.append(_ranked(count_cases(cases, list(ranked)), ranked, spec.rate).selectExpr(*plain, *unscored))
     if vaccine:
-        counts = count_vaccine_cases(mart, spec, list(vaccine))
+        counts = count_vaccine_cases(mart, cases, list(vaccine))
         parts.append(_ranked(counts, vaccine, spec.rate).selectExpr(*plain, *unscored))
     if "symptoms" in wanted:
         # at most TOP_LABELS rows, so ranking them is one task's work
         order = ["count DESC", "label"]
         if spec.is_active:
             order, unscored = ["score DESC", *order], ["bg_n", "score"]
-            terms = symptoms_panel(mart, spec).withColumnsRenamed({"symptom": "label", "fg_n": "count"})
+            terms = symptoms_panel(mart, spec, cases).withColumnsRenamed({"symptom": "label", "fg_n": "count"})
         else:
-            terms = symptoms_panel(mart, spec).withColumnRenamed("symptom", "label")
+            terms = symptoms_panel(mart, spec, cases).withColumnRenamed("symptom", "label")
         place = f"row_number() OVER (PARTITION BY panel ORDER BY {', '.join(order)}) AS pos"
         terms = terms.withColumn("panel", F.lit("symptoms"))
         parts.append(terms.selectExpr("panel", place, "label", "count", *unscored))

@@ -17,7 +17,7 @@ from caselight.sources.star_tables import RawTables, raw_tables
 from caselight.sources.store import ModelStore, bucket_count
 
 MODEL_TABLES = [
-    "reports", "reports_vax", "vax_details", "symptoms", "reports_symptoms", "symptom_bg",
+    "vax_details", "reports", "reports_vax", "symptoms", "reports_symptoms", "symptom_bg",
 ]
 
 
@@ -46,9 +46,9 @@ class Mart:
 
     def _define(self, name: str) -> DataFrame:
         if name == "reports":
-            return model.reports(self.raw.submissions, self.raw.vaccines, self.store.buckets)
+            return model.reports(self.raw.submissions, self.vax_details, self.store.buckets)
         if name == "reports_vax":
-            return model.reports_vax(self.raw.vaccines)
+            return model.reports_vax(self.vax_details)
         if name == "vax_details":
             return model.vax_details(self.raw.vaccines)
         if name == "vocabulary":
@@ -68,12 +68,16 @@ class Mart:
             self._selections[key] = self.store.save(f"selection_{uuid.uuid4().hex}", find())
         return self._selections[key]
 
+    def forget_selections(self) -> None:
+        """Search anew from now on (the written selections stay until the folder is cleaned)."""
+        self._selections.clear()
+
     def build_all(self) -> None:
         """Write every table; those that do not need each other are written side by side, so
         the tail of one job does not leave the cluster idle."""
-        independent = ["reports", "reports_vax", "vax_details", "symptoms"]
-        with ThreadPoolExecutor(len(independent)) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(self.table), independent))
+        with ThreadPoolExecutor(2) as pool:
+            for independent in (["vax_details", "symptoms"], ["reports", "reports_vax"]):
+                list(pool.map(inheritable_thread_target(self.spark)(self.table), independent))
         for name in MODEL_TABLES:
             self.table(name)
 

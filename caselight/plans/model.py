@@ -30,15 +30,24 @@ def _primary(df: DataFrame) -> DataFrame:
     return df.filter(is_primary(F.col("REPORT_ORDER")))
 
 
-def vaccine_rollup(vaccines: DataFrame) -> DataFrame:
-    """Per case: vaccine rows of the primary submission and its sorted set of types."""
+def vax_details(vaccines: DataFrame) -> DataFrame:
+    """Distinct vaccine attributes per case (primary submissions) and their number of rows.
+
+    The one pass over the raw vaccine rows: everything else about vaccines is read from here,
+    case by case, without another exchange.
+    """
     return (
         _primary(vaccines)
-        .groupBy(CASE_ID)
-        .agg(
-            F.count("*").alias("NUM_VAX"),
-            F.array_sort(F.collect_set(F.when(_typed(), F.col("VAX_TYPE")))).alias("VAX_TYPES"),
-        )
+        .groupBy(CASE_ID, "VAX_TYPE", "VAX_MANU", "VAX_ROUTE", "VAX_SITE", "VAX_DOSE_SERIES", "VAX_LOT")
+        .agg(F.count("*").alias("VAX_ROWS"))
+    )
+
+
+def vaccine_rollup(vax_details: DataFrame) -> DataFrame:
+    """Per case: vaccine rows of the primary submission and its sorted set of types."""
+    return vax_details.groupBy(CASE_ID).agg(
+        F.sum("VAX_ROWS").alias("NUM_VAX"),
+        F.array_sort(F.collect_set(F.when(_typed(), F.col("VAX_TYPE")))).alias("VAX_TYPES"),
     )
 
 
@@ -50,7 +59,7 @@ def followup_counts(submissions: DataFrame) -> DataFrame:
     )
 
 
-def reports(submissions: DataFrame, vaccines: DataFrame, partitions: int | None = None) -> DataFrame:
+def reports(submissions: DataFrame, vax_details: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per case. Both rollups join on the key the primaries are partitioned by, so
     the wide narrative rows move once."""
     primaries = _primary(submissions)
@@ -58,7 +67,7 @@ def reports(submissions: DataFrame, vaccines: DataFrame, partitions: int | None
         primaries = primaries.repartition(partitions, CASE_ID)
     types = F.coalesce(F.col("VAX_TYPES"), F.array().cast("array<string>"))
     return (
-        primaries.join(vaccine_rollup(vaccines), CASE_ID, "left")
+        primaries.join(vaccine_rollup(vax_details), CASE_ID, "left")
         .join(followup_counts(submissions), CASE_ID, "left")
         .select(
             CASE_ID, "RECVDATE", "VAX_DATE", "ONSET_DATE", "DATEDIED", "AGE_YRS", "STATE", "SEX",
@@ -75,21 +84,12 @@ def reports(submissions: DataFrame, vaccines: DataFrame, partitions: int | None
     )
 
 
-def reports_vax(vaccines: DataFrame) -> DataFrame:
+def reports_vax(vax_details: DataFrame) -> DataFrame:
     """Distinct (case, type, manufacturer) of primary submissions, typed rows only.
 
     Not restricted to cases in ``reports``.
     """
-    return _primary(vaccines).filter(_typed()).select(CASE_ID, "VAX_TYPE", "VAX_MANU").distinct()
-
-
-def vax_details(vaccines: DataFrame) -> DataFrame:
-    """Distinct raw vaccine attributes per case (primary), what the raw-column panels count."""
-    return (
-        _primary(vaccines)
-        .select(CASE_ID, "VAX_ROUTE", "VAX_SITE", "VAX_DOSE_SERIES", "VAX_LOT")
-        .distinct()
-    )
+    return vax_details.filter(_typed()).select(CASE_ID, "VAX_TYPE", "VAX_MANU").distinct()
 
 
 def term_lines(terms: DataFrame, *keep: str) -> DataFrame:

@@ -75,10 +75,13 @@ for _name in ("reports_vax", "symptoms", "reports_symptoms", "symptom_bg"):
     on_mart(f"model_{_name}", lambda mart, n=_name: mart.table(n), oracle.sql(f"SELECT * FROM {_name}"))
 on_raw(
     "model_vaccine_rollup",
-    lambda raw: joined(model.vaccine_rollup(raw.vaccines), "VAX_TYPES"),
+    lambda raw: joined(model.vaccine_rollup(model.vax_details(raw.vaccines)), "VAX_TYPES"),
     oracle.sql("""SELECT CASE_ID, NUM_VAX, coalesce(array_to_string(VAX_TYPES, '::'), '') AS VAX_TYPES
       FROM vax_rollup"""),
 )
+on_mart("model_vax_details", lambda mart: mart.vax_details,
+        oracle.raw_sql("""SELECT CASE_ID, VAX_TYPE, VAX_MANU, VAX_ROUTE, VAX_SITE, VAX_DOSE_SERIES, VAX_LOT,
+          count(*) AS VAX_ROWS FROM vaccines WHERE coalesce(REPORT_ORDER, 1) = 1 GROUP BY ALL"""))
 on_raw(
     "model_followup_counts",
     lambda raw: model.followup_counts(raw.submissions),

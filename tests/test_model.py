@@ -38,7 +38,7 @@ def test_hot_case_and_hot_term(spark, tmp_path):
         [dict(CASE_ID=v["CASE_ID"], SYMPTOM1=" Pain ", SYMPTOM2="Pain") for v in many + few],
     )
     assert mart.reports_vax.count() == 601
-    assert mart.vax_details.count() == 603
+    assert mart.vax_details.count() == 603 and mart.vax_details.groupBy().sum("VAX_ROWS").first()[0] == 900
     assert mart.reports_symptoms.count() == 601
     one = mart.reports.filter("CASE_ID = '0000001'").first()
     assert (one.NUM_VAX, one.FOLLOWUP_COUNT, one.VAX_COMBO) == (300, 300, "FLU")

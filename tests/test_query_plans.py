@@ -78,10 +78,10 @@ def test_another_session_sees_the_bucketing(mart, tmp_path):
 
 def test_vaccine_panel_exchanges_only_its_counts(mart):
     """Scan, semi join and per-case distinct run bucket by bucket."""
-    counts = panels.count_vaccine_cases(mart, FilterSpec(), ["vax_types", "manufacturers"])
+    counts = panels.count_vaccine_cases(mart, mart.reports, ["vax_types", "manufacturers"])
     mart.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(panels.count_vaccine_cases(mart, FilterSpec(), ["vax_types", "manufacturers"]))
+        text = plan(panels.count_vaccine_cases(mart, mart.reports, ["vax_types", "manufacturers"]))
     finally:
         mart.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 1
