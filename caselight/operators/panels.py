@@ -1,8 +1,9 @@
 """The named aggregate panels over filtered cases.
 
-A *case panel* names, per case, its label or labels (NULL where the case is not counted). Any number of case panels is counted in ONE scan: ``stack`` turns a case into
-its (panel, label) rows and a single map-side-combined aggregate counts them. Fixed
-domains are zero-filled by adding weightless rows before that aggregate, not by a join after.
+A *case panel* names, per case, its label or labels (NULL where the case is not counted). Any
+number of case panels is counted in ONE scan: ``stack`` turns a case into its (panel, label)
+rows and a single map-side-combined aggregate counts them. Fixed domains are zero-filled by
+adding weightless rows before that aggregate, not by a join after.
 
 A *vaccine panel* counts distinct cases per label of a per-case vaccine table. Both sides are
 bucketed by case, so neither the semi join nor the per-case distinct needs an exchange.

@@ -339,7 +339,7 @@ on_mart("drill_symptoms", lambda mart: drilled_members(mart, "symptoms", ["Brand
 # --- cases --------------------------------------------------------------------------------
 
 _PAGE = """SELECT CASE_ID, strftime(VAX_DATE, '%Y-%m-%d') AS VAX_DATE, AGE_YRS, NUMDAYS, NUM_VAX, FOLLOWUP_COUNT,
-  array_to_string(list_slice(string_split(coalesce(SYMPTOM_TEXT, ''), chr(10)), 1, 10), chr(10)) AS SHORT_SYMPTOM_TEXT
+  regexp_extract(coalesce(SYMPTOM_TEXT, ''), '^(?:[^\\n]*\\n){0,9}[^\\n]*') AS SHORT_SYMPTOM_TEXT
   FROM f ORDER BY """
 _TIE = "CAST(CASE_ID AS BIGINT) DESC"
 

@@ -2,7 +2,6 @@ import datetime as dt
 
 import pytest
 from tests.feed_files import record, write_feed
-from pyspark.sql import functions as F
 
 from caselight.plans.mart import build_model, model_is_usable, open_model
 from caselight.plans.checks import ModelError
