@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from caselight.llm.secrets import op3_secret_scan
 from caselight.llm.sharding import op10_rendezvous_shards
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
