@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from caselight.llm.quality import op8_quality_rules
 from caselight.llm.secrets import op3_secret_scan
 from caselight.llm.sharding import op10_rendezvous_shards
+from caselight.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op6_token_counts": op6_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
