@@ -6,11 +6,13 @@ from caselight.llm.quality import op8_quality_rules
 from caselight.llm.secrets import op3_secret_scan
 from caselight.llm.sharding import op10_rendezvous_shards
 from caselight.llm.token_counts import op6_token_counts
+from caselight.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
