@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from caselight.llm.decontamination import op7_decontamination
+from caselight.llm.extraction import op4_html_extraction
 from caselight.llm.quality import op8_quality_rules
 from caselight.llm.secrets import op3_secret_scan
 from caselight.llm.sharding import op10_rendezvous_shards
@@ -11,6 +12,7 @@ from caselight.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op4_html_extraction": op4_html_extraction,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
