@@ -24,9 +24,9 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     turn = 0
     while not left.isEmpty():
         near = ends(left)
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("v"))
         to = near.groupBy("a").agg(F.min(order("b")).alias("o")).select(
-            F.col("a").alias("from"), F.least(order("a"), F.col("o")).getField("col2").alias("to"))
+            F.col("a").alias("from"), F.least(order("a"), F.col("o")).getField("v").alias("to"))
         to = settled(spark, to, f"{name}-to")
         if labels is None:
             labels = to.select(F.col("from").alias("node"), F.col("to").alias("label"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from caselight.llm.decontamination import op7_decontamination
 from caselight.llm.extraction import op4_html_extraction
+from caselight.llm.ngram_join import op1_ngram_jaccard_join
 from caselight.llm.packing import op2_packing
 from caselight.llm.quality import op8_quality_rules
 from caselight.llm.secrets import op3_secret_scan
@@ -12,6 +13,7 @@ from caselight.llm.token_counts import op6_token_counts
 from caselight.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_html_extraction": op4_html_extraction,

@@ -1,14 +1,77 @@
-"""A pipeline over ``documents``: each stage works on all that the stage before it kept."""
+"""A pipeline over ``documents``: each stage works on all that the stage before it kept.
+
+Rows with nulls pass through every stage by the rules of its operator; repeated rows count as copies, of which
+the class keeps one; an empty table stays empty; columns beyond those of ``documents`` are dropped at the start.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caselight.llm import decontamination, ngram_join, packing, quality, secrets
+from caselight.llm.shared import documents_of, settled, small_side
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the likelihood ratio keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.verdicts(spark, docs.select(COLUMNS), labels, COLUMNS).where("kept").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one whose doc_id names the class.
+
+    Documents without words stand alone. Of rows that repeat a doc_id, one stays if their texts are of one
+    class; rows without doc_id stay if no other row has their shingles.
+    """
+    found = settled(spark, ngram_join.classes(spark, docs.select("doc_id", "text")), "classes")
+    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.select(COLUMNS).join(small_side(settled(spark, gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = settled(spark, repeated.select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = small_side(repeated)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole or edited."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("long"), "text")
+    found = decontamination.contaminated(docs.select("doc_id", "text"), benchmark)
+    gone = settled(spark, found.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
+    return docs.select(COLUMNS).join(small_side(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark; ``n_chars`` of changed texts counted anew."""
+    found = secrets.with_spans(spark, docs.select(COLUMNS))
+    changed = F.size("_spans") > 0
+    text = F.when(changed, secrets.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("text"), "lang", "source",
+                        F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 ids."""
+    import public_tokenizers
+
+    return packing.packed(spark, docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
-from caselight.llm.shared import documents_of, settled
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", packed_sequences),
+]
 
 #: Hashes, alignment and packing are not expressible in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
