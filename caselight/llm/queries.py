@@ -6,6 +6,7 @@ from caselight.llm.decontamination import op7_decontamination
 from caselight.llm.extraction import op4_html_extraction
 from caselight.llm.ngram_join import op1_ngram_jaccard_join
 from caselight.llm.packing import op2_packing
+from caselight.llm.passages import op5_repeated_passages
 from caselight.llm.quality import op8_quality_rules
 from caselight.llm.secrets import op3_secret_scan
 from caselight.llm.sharding import op10_rendezvous_shards
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_html_extraction": op4_html_extraction,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
