@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,23 +100,32 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_key, n_shingles, prefix) of every row; no words: null key, empty prefix."""
+    """(doc_id, place, set_key, n_shingles, last, prefix) of every row; no words: null key, empty prefix.
+
+    ``last`` is the largest hash of the prefix, as a signed number of the same order; ``place`` names the row.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 36
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, lasts, prefixes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text)
+                prefix = found[: prefix_length(len(found))]
                 keys.append(set_key(found) if len(found) else None)
                 sizes.append(len(found))
-                prefixes.append(_signed(found[: prefix_length(len(found))]))
+                lasts.append(int(prefix[-1]) - (1 << 63) if len(prefix) else None)
+                prefixes.append(_signed(prefix))
+            places = np.arange(place, place + len(keys))
+            place += len(keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), list_array(prefixes)],
-                ["doc_id", "set_key", "n_shingles", "prefix"])
+                [batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(keys, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.array(lasts, pa.int64()), list_array(prefixes)],
+                ["doc_id", "place", "set_key", "n_shingles", "last", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        describe, f"doc_id {kind}, set_key long, n_shingles long, prefix array<long>")
+        describe, f"doc_id {kind}, place long, set_key long, n_shingles long, last long, prefix array<long>")
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -135,36 +145,43 @@ def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def index_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, rare: int = RARE,
-             held: int = HELD_SHINGLES) -> DataFrame:
-    """(sig, set_key, n): entries that at least two sets share. ``sets``: (set_key, rep, n, prefix), distinct."""
-    entries = sets.select("set_key", "n", F.explode("prefix").alias("sig"))
+             held: int = HELD_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """(sig, set_key, n), the entries; and (set_key, n, last, f, shared) of the sets indexed by rare shingles alone.
+
+    ``sets``: (set_key, rep, n, last, prefix), distinct. ``shared`` are the prefix's rare shingles that another
+    set's prefix holds, ``f`` counts its frequent ones. A linked set holds all of the prefix but a quarter of n,
+    so sets that share less with all others together are left out.
+    """
+    entries = sets.select("set_key", F.explode("prefix").alias("sig"))
     counts = settled(spark, entries.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
     frequent = counts.where(F.col("df") > rare).select("sig")
     many = frequent.count()
     single = counts.where(F.col("df") <= rare).select("sig")
-    more = None
+    with_frequent = more = None
     if many:
-        # sets whose kept prefix may hold too few rare shingles are indexed anew from their whole texts
         if many <= held:
             sorted_frequent = np.sort(frequent.toPandas()["sig"].to_numpy(np.int64).view(np.uint64))
             shared = spark.sparkContext.broadcast(sorted_frequent)
 
-            def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    keep = [
-                        len(p) - int(_among(np.array(p, np.int64).view(np.uint64), shared.value).sum())
-                        <= missing_at_most(n)
-                        for p, n in zip(batch.column("prefix").to_pylist(), batch.column("n").to_pylist())]
-                    yield batch.select(["set_key", "rep"]).filter(pa.array(keep, pa.bool_()))
+                    found = [int(_among(np.array(p, np.int64).view(np.uint64), shared.value).sum())
+                             for p in batch.column("prefix").to_pylist()]
+                    made = pa.RecordBatch.from_arrays(
+                        [*(batch.column(c) for c in ("set_key", "rep", "n")), pa.array(found, pa.int64())],
+                        ["set_key", "rep", "n", "f"])
+                    yield made.filter(pa.array([f > 0 for f in found], pa.bool_()))
 
             kind = dict(sets.dtypes)["rep"]
-            chosen = sets.select("set_key", "rep", "n", "prefix").mapInArrow(dense, f"set_key long, rep {kind}")
+            with_frequent = sets.select("set_key", "rep", "n", "prefix").mapInArrow(
+                count, f"set_key long, rep {kind}, n long, f long")
         else:
-            few = entries.join(frequent, "sig").groupBy("set_key").agg(F.count(F.lit(1)).alias("f"))
-            chosen = sets.join(few, "set_key").where(
-                F.size("prefix") - F.col("f") <= F.floor(F.col("n") / 4)).select("set_key", "rep")
-        chosen = small_side(settled(spark, chosen, "dense-sets"))
-        whole = _full_sets(docs, chosen)
+            f = entries.join(frequent, "sig").groupBy("set_key").agg(F.count(F.lit(1)).alias("f"))
+            with_frequent = sets.select("set_key", "rep", "n").join(f, "set_key")
+        # sets whose kept prefix holds too few rare shingles are indexed anew from their whole texts
+        dense = _prefix_length(F.col("n")) - F.col("f") <= F.floor(F.col("n") / 4)
+        with_frequent = settled(spark, with_frequent.withColumn("dense", dense), "frequent-sets")
+        whole = _full_sets(docs, small_side(with_frequent.where("dense").select("set_key", "rep")))
         if many <= held:
             def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -190,10 +207,38 @@ def index_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, rare: int =
             more = flagged.mapInArrow(entries_of, "set_key long, n long, sigs array<long>")
         more = settled(spark, more, "dense-entries").select("set_key", "n", F.explode("sigs").alias("sig"))
         single = single.union(more.select("sig")).distinct()
-    shared_entries = entries.join(single, "sig").select("sig", "set_key", "n")
-    if more is None:
-        return settled(spark, shared_entries, "index")
-    return settled(spark, shared_entries.unionAll(more.select("sig", "set_key", "n")).distinct(), "index")
+    lists = entries.join(single, "sig").groupBy("set_key").agg(F.collect_list("sig").alias("shared"))
+    lists = lists.join(sets.select("set_key", "n", "last"), "set_key")
+    if with_frequent is None:
+        lists = lists.withColumn("f", F.lit(0).cast("long"))
+    else:
+        lists = lists.join(small_side(with_frequent.select("set_key", "f", "dense")), "set_key", "left").where(
+            "dense is null or not dense").withColumn("f", F.coalesce("f", F.lit(0))).drop("dense")
+    lists = settled(spark, lists.where(
+        F.size("shared") + F.col("f") >= _prefix_length(F.col("n")) - F.floor(F.col("n") / 4)), "shared-prefixes")
+    index = lists.select(F.explode("shared").alias("sig"), "set_key", "n")
+    return (index if more is None else index.unionAll(more.select("sig", "set_key", "n"))), lists
+
+
+def _prefix_length(n: Column) -> Column:
+    return F.least(n, F.floor(n / 4) + 1 + F.floor(n / 16))
+
+
+def possible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that their prefixes do not rule out.
+
+    Say a's prefix ends first. All shingles that b shares with it lie in b's prefix as well, so the sets share no
+    more than the prefixes do, the frequent ones of either, and what a has after its prefix. A set without a list
+    (indexed from its whole text) rules out nothing.
+    """
+    side = lambda x: lists.select(*(F.col(c).alias(f"{c}_{x}") for c in ("set_key", "n", "last", "f", "shared")))
+    both = pairs.join(side("a").withColumnRenamed("set_key_a", "a"), "a", "left").join(
+        side("b").withColumnRenamed("set_key_b", "b"), "b", "left")
+    c = F.col
+    n = F.when(c("last_a") <= c("last_b"), c("n_a")).otherwise(c("n_b"))
+    most = F.size(F.array_intersect("shared_a", "shared_b")) + F.least("f_a", "f_b") + n - _prefix_length(n)
+    enough = 7 * most >= 3 * (c("n_a") + c("n_b"))
+    return both.where(c("n_a").isNull() | c("n_b").isNull() | enough).select("a", "b")
 
 
 def _among(shingles: np.ndarray, sorted_frequent: np.ndarray) -> np.ndarray:
@@ -227,16 +272,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def linked(spark: SparkSession, docs: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
+def linked(spark: SparkSession, docs: DataFrame, names: DataFrame, index: DataFrame, lists: DataFrame) -> DataFrame:
     """(node, label) of sets that link with another: the components of all links.
 
     A bucket of m sets is first linked through one member, m - 1 pairs; only buckets that still hold several
     components go on, with another member, and at last all their pairs across components are made, in blocks.
     Pairs within a component need no check, so a group of near copies costs its size, not its square.
     """
-    names = settled(spark, index.select("set_key").distinct().join(sets.select("set_key", "rep"), "set_key"), "indexed")
-    texts = docs.join(small_side(names), docs["doc_id"] == names["rep"]).select("set_key", "text")
-    texts = settled(spark, _right_texts(texts), "texts")
     edges: DataFrame | None = None
     tested: DataFrame | None = None
     labels: DataFrame | None = None
@@ -262,10 +304,14 @@ def linked(spark: SparkSession, docs: DataFrame, sets: DataFrame, index: DataFra
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settled(spark, pairs, f"pairs-{turn}")
+        pairs = settled(spark, possible(pairs, lists), f"pairs-{turn}")
         if pairs.isEmpty():
             break
         tested = pairs if tested is None else tested.unionAll(pairs)
+        wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(names, "set_key")
+        wanted = small_side(settled(spark, wanted, f"wanted-{turn}"))
+        texts = settled(spark, _right_texts(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select(
+            "set_key", "text")), f"texts-{turn}")
         found = settled(spark, verified(pairs, texts), f"links-{turn}")
         edges = found if edges is None else edges.unionAll(found)
         labels = components(spark, edges, f"sets-{turn}")
@@ -306,17 +352,21 @@ def classes(spark: SparkSession, docs: DataFrame, rare: int = RARE, held: int =
     Equal sets are one node from the start; their rows are summed map-side, so copies cost nothing later.
     """
     rows = settled(spark, described(docs), "sets")
-    sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    sets = settled(spark, sets, "distinct-sets")
-    index = index_of(spark, docs, sets, rare, held)
-    labels = linked(spark, docs, sets, index)
-    joined = sets.select("set_key", "rep").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select(
+    names = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "place")).alias("first"))
+    names = settled(spark, names.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.place").alias("place")),
+                    "distinct-sets")
+    sets = rows.join(small_side(names.select("place", "rep")), "place").select(
+        "set_key", "rep", F.col("n_shingles").alias("n"), "last", "prefix")
+    index, lists = index_of(spark, docs, sets, rare, held)
+    names = names.drop("place")
+    labels = linked(spark, docs, names, index, lists)
+    joined = names.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "rep", F.coalesce("label", "set_key").alias("label"))
     joined = settled(spark, joined, "labelled")
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = settled(spark, joined.join(least, "label").select("set_key", "component_id"), "components")
-    return rows.drop("prefix").join(named, "set_key", "left").select(
+    return rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key")
 
 
