@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words a Python worker remembers between batches.
-REMEMBERED = 1_200_000
+#: Distinct words a Python worker remembers at least between batches; it holds twice as many at most.
+REMEMBERED = 150_000
 #: Words that one call of the library takes together.
 TOGETHER = 512
 
+# A Latin word and marks after it: the tokenizer lower-cases, and never puts a letter and such a mark in one pre-token.
+_LATIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,!?;:#*$%&]*)\Z")
+
 
 class WordIds:
     """``ids`` of texts without special tokens added; the same as encoding each text whole.
@@ -20,13 +26,35 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # threads of their own in each worker would take memory and leave no core to other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def _learn(self, words: list[str]) -> None:
+        """Ids of words that are not known: those of the lower-cased letters and of the marks, if a word is so made."""
+        known, older = self.known, self.older
+        parts = []
+        new: dict[str, None] = {}
+        for word in words:
+            latin = _LATIN.match(word)
+            own = (latin[1].lower(), latin[2]) if latin else (word, "")
+            parts.append(own)
+            for part in own:
+                if part not in known:
+                    if part in older:
+                        known[part] = older[part]
+                    else:
+                        new[part] = None
+        self._encode(list(new))
+        for word, (letters, marks) in zip(words, parts):
+            known[word] = known[letters] + known[marks]
+
+    def _encode(self, words: list[str]) -> None:
         for i in range(0, len(words), TOGETHER * 8):
             groups = [words[j : j + TOGETHER] for j in range(i, min(i + TOGETHER * 8, len(words)), TOGETHER)]
             coded = self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
@@ -34,7 +62,7 @@ class WordIds:
                 lengths = np.fromiter(map(len, group), np.int64, len(group))
                 starts = np.cumsum(lengths + 1) - lengths - 1
                 raw = np.array(code.ids, np.uint32).astype(self.kind).tobytes()
-                at = np.array(code.offsets, np.int64).reshape(-1, 2)[:, 0]
+                at = np.fromiter((o[0] for o in code.offsets), np.int64)
                 width = self.kind.itemsize
                 ends = [*(np.searchsorted(at, starts[1:], "left") * width).tolist(), len(raw)]
                 first = 0
@@ -48,13 +76,18 @@ class WordIds:
         words = coded.dictionary.to_pylist()
         known = self.known
         known[""] = b""
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-            new = [w for w in words if w]
+        new = []
+        for w in words:
+            if w not in known:
+                if w in self.older:
+                    known[w] = self.older[w]
+                else:
+                    new.append(w)
         self._learn(new)
         parts = [known[w] for w in words]
+        if len(known) > REMEMBERED:
+            # words not seen since the last turn are forgotten
+            self.older, self.known = known, {}
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
         flat = np.frombuffer(b"".join(parts), self.kind)
         first = np.cumsum(sizes) - sizes
