@@ -14,16 +14,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from caselight import fixed_values as fv
 from caselight.functions.text import decode_windows_1252, unix_newlines
 
 REJECTED = "_rejected"
-# Files above this size are cut into blocks instead of being one task's work.
-SPLIT_BYTES = 256 << 20
-
 # fixed values: name token -> table, tried in this order
 TABLE_TOKENS = {"DATA": "submissions", "SYMPTOMS": "terms", "VAX": "vaccines"}
 NON_DOMESTIC = "NONDOMESTIC"
@@ -142,30 +138,24 @@ def missing_columns(file: FeedFile, header: Sequence[str]) -> list[str]:
     return [c for c in TABLE_COLUMNS[file.table] if c not in header]
 
 
-def read_feed(
-    spark: SparkSession,
-    table: str,
-    headers: dict[FeedFile, tuple[str, ...]],
-    split_bytes: int = SPLIT_BYTES,
-) -> DataFrame:
+def read_feed(spark: SparkSession, table: str, headers: dict[FeedFile, tuple[str, ...]]) -> DataFrame:
     """All files of one table as text rows, one read per header signature.
 
-    Files of different headers are aligned by name. Small files are parsed whole, one task
-    each; larger ones are cut into blocks and parsed in parallel.
+    Files of different headers are aligned by name. Files of any size are read the same way, in blocks
+    that parse in parallel.
     """
-    groups: dict[tuple[tuple[str, ...], bool], list[FeedFile]] = {}
+    groups: dict[tuple[str, ...], list[FeedFile]] = {}
     for file, header in headers.items():
-        groups.setdefault((header, file.size > split_bytes), []).append(file)
+        groups.setdefault(header, []).append(file)
     wanted = [*TABLE_COLUMNS[table], fv.ORDER_COLUMN]
     frames = []
-    for (header, large), files in groups.items():
-        paths = [f.path for f in files]
-        rows = _read_blocks(spark, paths, header) if large else _read_whole(spark, paths, header)
+    for header, files in groups.items():
+        rows = _read_records(spark, [f.path for f in files], header)
         kept = [c for c in header if c in wanted]
         frames.append(
             rows.select(
                 *[_clean(F.col(f"`{c}`")).alias(c) for c in kept],
-                _file_name(F.col("path")).alias("FILE_NAME"), "path", "ordinal",
+                _file_name(F.col("path")).alias("FILE_NAME"), "path", "ordinal", "lines",
                 decode_windows_1252(F.col(REJECTED)).alias(REJECTED),
             )
         )
@@ -182,39 +172,49 @@ def _file_name(path: Column) -> Column:
     return F.upper(F.regexp_extract(path, r"(?i)^.*?/(?:[^/=]+=)?([^/=]+\.csv)(?:/.*)?$", 1))
 
 
-def _schema(header: Sequence[str]) -> T.StructType:
-    fields = [T.StructField(c, T.StringType()) for c in [*header, REJECTED]]
-    return T.StructType(fields)
-
-
 def _decoded_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _read_whole(spark: SparkSession, paths: list[str], header: Sequence[str]) -> DataFrame:
-    """The CSV source in multi-line mode: a file is never split, so row ids grow in file order."""
-    rows = (
-        spark.read.schema(_schema(header))
-        .options(header="true", multiLine="true", encoding="ISO-8859-1", **_CSV_OPTIONS)
-        # all columns are tokenised whatever is selected, so rejects never depend on the query
-        .option("columnPruning", "false")
-        .option("recursiveFileLookup", "true")
-        .csv(paths)
-    )
-    return rows.select(
-        "*",
-        _decoded_path(F.col("_metadata.file_path")).alias("path"),
-        F.monotonically_increasing_id().alias("ordinal"),
-    )
+# A quoted field's text up to its closing quote, fields with their commas, and a quoted field left open.
+# All quantifiers are possessive: no backtracking, and no recursion on long lines.
+_QUOTED = '[^"]*+(?:""[^"]*+)*+'
+_FIELDS = f'(?:(?:"{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+_LEFT_OPEN = f'"{_QUOTED}$'
+OPENS_OUTSIDE = f"^{_FIELDS}{_LEFT_OPEN}"
+OPEN_INSIDE = f'^{_QUOTED}(?:$|"[^,]*+,{_FIELDS}{_LEFT_OPEN})'
 
 
-def _read_blocks(spark: SparkSession, paths: list[str], header: Sequence[str]) -> DataFrame:
-    """Parallel parse of files too large for one task.
+def _carried(frame: DataFrame, along: list[str], order: str) -> DataFrame:
+    """``frame`` with ``start_0`` and ``start_1``: whether a quoted field is open where a row begins, if none
+    (one) is where its partition begins.
 
-    A line starts a record exactly when an even number of quote characters precedes it in its
-    file. Quotes are summed within each file block (bounded, one window each); block totals, a
-    few numbers per block, are summed along the file and carried in. Lines then group into
-    records, which keep their line breaks, and each record is parsed on its own.
+    A row maps the state before it to the state after it (``after_0``, ``after_1``). Maps compose: the last row
+    that ends the same way whatever came before decides, and each later row that swaps the two states flips it.
+    """
+    before = Window.partitionBy(*along).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    fixed, swaps = F.col("after_0") == F.col("after_1"), F.col("after_0") > F.col("after_1")
+    frame = frame.withColumn("flips", F.coalesce(F.sum(swaps.cast("int")).over(before), F.lit(0)))
+    last = F.last(F.when(fixed, F.struct("after_0", "flips")), ignorenulls=True).over(before)
+    frame = frame.withColumn("last", last)
+    decided = F.pmod(F.col("last.after_0") + F.col("flips") - F.col("last.flips"), F.lit(2))
+    return frame.withColumns({
+        f"start_{p}": F.coalesce(decided, F.pmod(F.col("flips") + p, F.lit(2))) for p in (0, 1)
+    }).drop("last", "flips")
+
+
+def _read_records(spark: SparkSession, paths: list[str], header: Sequence[str]) -> DataFrame:
+    """Records of CSV files, parsed in parallel whatever the size of a file.
+
+    CR, LF and CRLF all end a line. A line begins a record unless a quoted field is open there; a quote opens a
+    field only where the field begins. How a line changes that is known for both cases before its file's earlier
+    lines are; the cases are composed along each block (bounded, one window each), and the blocks' results, a few
+    numbers each, along the file. Lines then group into records, which parse one by one.
+
+    A stray opening quote takes lines up to the next quote, or all to the end of the file, into one record. So the
+    lines of a record of several that does not fit the header, and of one that nothing closes, are read again one
+    by one: those with the header's fields are kept, others rejected each.
+    ``ordinal`` is the number of a record's first line, ``lines`` how many it has.
     """
     line = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
@@ -223,35 +223,47 @@ def _read_blocks(spark: SparkSession, paths: list[str], header: Sequence[str]) -
         F.monotonically_increasing_id().alias("row"),
         line.alias("line"),
     )
-    quotes = F.char_length("line") - F.char_length(F.replace("line", F.lit('"')))
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    in_block = Window.partitionBy("path", "block").orderBy("row").rowsBetween(*so_far)
-    lines = lines.withColumn("quotes", quotes).withColumn(
-        "odd", (F.sum("quotes").over(in_block) - F.col("quotes")) % 2
-    )
-    # records that start in a block depend on the parity carried into it: count both cases
-    opened = {p: F.sum(F.when(F.col("odd") == p, 1).otherwise(0)) for p in (0, 1)}
-    lines = lines.withColumns({f"opened_{p}": c.over(in_block) for p, c in opened.items()})
-    along_file = Window.partitionBy("path").orderBy("block").rowsBetween(*so_far)
-    blocks = (
-        lines.groupBy("path", "block")
-        .agg(F.sum("quotes").alias("quotes"), opened[0].alias("starts_0"), opened[1].alias("starts_1"))
-        .withColumn("carry", (F.sum("quotes").over(along_file) - F.col("quotes")) % 2)
-        .withColumn("starts", F.when(F.col("carry") == 0, F.col("starts_0")).otherwise(F.col("starts_1")))
-        .select(
-            "path", "block", "carry",
-            (F.sum("starts").over(along_file) - F.col("starts")).alias("records_before"),
-        )
-    )
+    lines = _carried(lines.withColumns({
+        "after_0": F.regexp_like("line", F.lit(OPENS_OUTSIDE)).cast("int"),
+        "after_1": F.regexp_like("line", F.lit(OPEN_INSIDE)).cast("int"),
+    }), ["path", "block"], "row")
+    in_block = Window.partitionBy("path", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumns({f"opened_{p}": F.sum(1 - F.col(f"start_{p}")).over(in_block) for p in (0, 1)})
+    lines = lines.withColumn("number", F.count(F.lit(1)).over(in_block))
+    ends = [F.max_by(F.when(F.col(f"start_{p}") == 0, F.col("after_0")).otherwise(F.col("after_1")), "row") for p in (0, 1)]
+    blocks = lines.groupBy("path", "block").agg(
+        ends[0].alias("after_0"), ends[1].alias("after_1"), F.max("opened_0").alias("starts_0"),
+        F.max("opened_1").alias("starts_1"), F.max("number").alias("n"))
+    blocks = _carried(blocks, ["path"], "block")
+    starts = F.when(F.col("start_0") == 0, F.col("starts_0")).otherwise(F.col("starts_1"))
+    left_open = F.when(F.col("start_0") == 0, F.col("after_0")).otherwise(F.col("after_1"))
+    blocks = blocks.withColumns({"starts": starts, "left_open": left_open})
+    along_file = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole_file = Window.partitionBy("path")
+    blocks = blocks.select(
+        "path", "block", F.col("start_0").alias("carry"),
+        F.coalesce(F.sum("starts").over(along_file), F.lit(0)).alias("records_before"),
+        F.coalesce(F.sum("n").over(along_file), F.lit(0)).alias("lines_before"),
+        F.when(F.max_by("left_open", "block").over(whole_file) == 1, F.sum("starts").over(whole_file)).alias("endless"))
     opened_here = F.when(F.col("carry") == 0, F.col("opened_0")).otherwise(F.col("opened_1"))
+    lines = lines.join(blocks, ["path", "block"]).withColumns({
+        "record": F.col("records_before") + opened_here, "number": F.col("lines_before") + F.col("number")})
+    # lines of an endless record stand alone
+    alone = F.when(F.col("record") == F.col("endless"), F.col("number")).otherwise(F.lit(0))
     records = (
-        lines.join(blocks, ["path", "block"])
-        .groupBy("path", (F.col("records_before") + opened_here).alias("ordinal"))
-        .agg(F.array_sort(F.collect_list(F.struct("block", "row", "line"))).alias("lines"))
-        .select("path", "ordinal", F.array_join(F.col("lines.line"), "\n").alias("record"))
+        lines.groupBy("path", "record", alone.alias("alone"))
+        .agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("all"))
+        .select("path", F.col("all")[0]["number"].alias("ordinal"), F.size("all").alias("lines"),
+                F.array_join(F.col("all.line"), "\n").alias("record"))
         # the first record of a (part) file is its header
         .filter((F.col("ordinal") > 1) & (F.col("record") != ""))
     )
     ddl = ", ".join(f"`{c}` STRING" for c in [*header, REJECTED])
-    parsed = F.from_csv("record", ddl, _CSV_OPTIONS)
-    return records.select(parsed.alias("r"), "path", "ordinal").select("r.*", "path", "ordinal")
+    records = records.withColumn("r", F.from_csv("record", ddl, _CSV_OPTIONS))
+    again = F.col(f"r.{REJECTED}").isNotNull() & (F.col("lines") > 1)
+    alone = F.transform(F.split("record", "\n"), lambda text, i: F.struct(
+        F.from_csv(text, ddl, _CSV_OPTIONS).alias("r"), text.alias("text"), i.cast("bigint").alias("skip")))
+    one = F.array(F.struct(F.col("r"), F.lit("x").alias("text"), F.lit(0).cast("bigint").alias("skip")))
+    parts = records.select("path", "ordinal", F.when(again, F.lit(1)).otherwise(F.col("lines")).alias("lines"),
+                           F.explode(F.when(again, alone).otherwise(one)).alias("p")).filter("p.text <> ''")
+    return parts.select("p.r.*", "path", (F.col("ordinal") + F.col("p.skip")).alias("ordinal"), "lines")

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from caselight import fixed_values as fv
 from caselight.sources.feed import (
-    NON_DOMESTIC, REJECTED, SPLIT_BYTES, TABLE_COLUMNS, FeedError, FeedFile, header_of, list_feed,
+    NON_DOMESTIC, REJECTED, TABLE_COLUMNS, FeedError, FeedFile, header_of, list_feed,
     missing_columns, read_feed, require_distinct_names, split_missing,
 )
 from caselight.sources.star_tables import RawTables
@@ -118,17 +118,24 @@ def _write(df: DataFrame, target: str, append: bool) -> None:
     )
 
 
+def _write_empty(spark: SparkSession, table: str, bronze: str) -> None:
+    columns = [c for c in [*TABLE_COLUMNS[table], *fv.METADATA_COLUMNS] if c != "FILE_NAME"]
+    spark.createDataFrame([], ", ".join(f"{c} {_bronze_type(c)}" for c in columns)).write.mode("overwrite").parquet(
+        f"{bronze}/{table}")
+
+
 def ingest(
     spark: SparkSession,
     source: str | Sequence[str] | Sequence[FeedFile],
     bronze: str,
     append: bool = False,
     prefix: str = "",
-    split_bytes: int = SPLIT_BYTES,
 ) -> IngestReport:
     """Load a folder, a list of named files, or chosen ``FeedFile``s.
 
-    Every readable file is loaded even when others fail; a run with failures raises at its end.
+    Every readable file is loaded even when others fail; a run with failures raises at its end, and a failed
+    file has a row of no imported rows in ``import_summary``. A full load (not ``append``) replaces all three
+    tables: one that no file brought anew is left empty.
     """
     report = IngestReport()
     files = _files(spark, source, prefix, report)
@@ -142,8 +149,13 @@ def ingest(
     for table in TABLE_COLUMNS:
         chosen = {f: h for f, h in headers.items() if f.table == table}
         if chosen:
-            _load_table(spark, table, chosen, f"{bronze}", run, append, split_bytes, report)
+            _load_table(spark, table, chosen, bronze, run, append, report)
+        elif not append:
+            _write_empty(spark, table, bronze)
     if report.failed:
+        failed = [(f.file_name, f.table) for f in files if f.name in report.failed]
+        _log(spark.createDataFrame(failed, "file_name string, table_name string").withColumns({
+            "rows_imported": F.lit(0).cast("bigint"), "rows_rejected": F.lit(0).cast("bigint")}), bronze, "import_summary")
         raise FeedError("; ".join(f"{n}: {why}" for n, why in report.failed.items()))
     return report
 
@@ -182,11 +194,11 @@ def _files(spark, source, prefix: str, report: IngestReport) -> list[FeedFile]:
 
 def _load_table(
     spark: SparkSession, table: str, headers: dict[FeedFile, tuple[str, ...]], bronze: str,
-    run: str, append: bool, split_bytes: int, report: IngestReport,
+    run: str, append: bool, report: IngestReport,
 ) -> None:
     # the CSV is parsed once; everything after reads this columnar copy
     stage = f"{bronze}/_stage/{run}/{table}"
-    read_feed(spark, table, headers, split_bytes).write.parquet(stage)
+    read_feed(spark, table, headers).write.parquet(stage)
     staged = spark.read.parquet(stage)
     accepted = staged.filter(F.col(REJECTED).isNull()).drop(REJECTED)
     rejects = staged.filter(F.col(REJECTED).isNotNull())
@@ -200,7 +212,7 @@ def _load_table(
             F.col("FILE_NAME").alias("file_name"), F.lit(table).alias("table_name"),
             F.col("ordinal").alias("record"), F.lit("FIELD COUNT").alias("error_type"),
             F.col(REJECTED).alias("csv_line"),
-            F.lit("record does not have the fields of the header").alias("error_message"),
+            F.concat(F.lit("record does not have the fields of the header; lines: "), F.col("lines")).alias("error_message"),
         ),
         bronze, "rejects",
     )

@@ -492,12 +492,21 @@ def _feed_of(spark: SparkSession, folder: str) -> str:
     return target
 
 
-def _bronze_of(spark: SparkSession, folder: str, split_bytes: int = feed.SPLIT_BYTES, twice: bool = False) -> str:
-    key = (spark.sparkContext.applicationId, folder, split_bytes, twice)
+_BLOCK_SIZE = "spark.sql.files.maxPartitionBytes"
+
+
+def _bronze_of(spark: SparkSession, folder: str, block_bytes: int | None = None, twice: bool = False) -> str:
+    """The bronze tables of the feed, read in blocks of a given size if one is asked for."""
+    key = (spark.sparkContext.applicationId, folder, block_bytes, twice)
     if key not in _loads:
         source = _feed_of(spark, folder)
         bronze = f"{source}-bronze-{uuid.uuid4().hex}"
-        ingest(spark, source, bronze, split_bytes=split_bytes)
+        usual = spark.conf.get(_BLOCK_SIZE)
+        spark.conf.set(_BLOCK_SIZE, str(block_bytes) if block_bytes else usual)
+        try:
+            ingest(spark, source, bronze)
+        finally:
+            spark.conf.set(_BLOCK_SIZE, usual)
         if twice:
             # the recent files come in again: they replace themselves, the old ones stay
             ingest(spark, f"{source}/recent", bronze, append=True)
@@ -531,7 +540,7 @@ def _loaded(table: str, columns: list[str]) -> str:
 
 for _table, _columns in feed.TABLE_COLUMNS.items():
     on_bronze(f"ingest_{_table}", _bronze(_table), _loaded(_table, _columns))
-    on_bronze(f"ingest_{_table}_in_blocks", _bronze(_table), _loaded(_table, _columns), split_bytes=0)
+    on_bronze(f"ingest_{_table}_in_blocks", _bronze(_table), _loaded(_table, _columns), block_bytes=1 << 16)
 on_bronze("ingest_replace_by_file", _bronze("submissions"), _loaded("submissions", fv.SUBMISSION_COLUMNS), twice=True)
 on_bronze(
     "ingest_line_numbers",
@@ -540,7 +549,7 @@ on_bronze(
         F.max("FILE_LINE_NO").cast("bigint").alias("last_line"), F.count_distinct("FILE_LINE_NO").alias("lines")),
     oracle.raw_sql("""SELECT FILE_NAME, count(*) AS n, CAST(1 AS BIGINT) AS first_line, count(*) AS last_line,
       count(*) AS lines FROM submissions GROUP BY 1"""),
-    split_bytes=0)
+    block_bytes=1 << 16)
 on_bronze(
     "ingest_summary",
     lambda spark, bronze: spark.read.parquet(f"{bronze}/import_summary").drop("logged_at"),

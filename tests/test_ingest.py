@@ -5,25 +5,26 @@ from tests.feed_files import record, write_feed
 
 from caselight.plans.mart import build_model, model_is_usable, open_model
 from caselight.plans.checks import ModelError
-from caselight.sources import feed
 from caselight.sources.feed import FeedError, latest_vintage, list_feed, table_for
 from caselight.sources.ingest import bronze_table, bronze_tables, ingest
 
-WHOLE, BLOCKS = feed.SPLIT_BYTES, 0
 
 
 def sub(case, order=None, **values):
     return record("submissions", order, CASE_ID=case, **values)
 
 
-@pytest.fixture
-def tiny_blocks(spark):
-    """Cut text files into blocks of a few bytes."""
-    keys = {"spark.sql.files.maxPartitionBytes": "400", "spark.sql.files.openCostInBytes": "1"}
+BLOCKS = [150, 400, 5_000, 128 << 20]
+
+
+@pytest.fixture(params=BLOCKS)
+def blocks(spark, request):
+    """Cut text files into blocks of so many bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": str(request.param), "spark.sql.files.openCostInBytes": "1"}
     before = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
-    yield
+    yield request.param
     for k, v in before.items():
         spark.conf.set(k, v)
 
@@ -41,10 +42,9 @@ def quirks(folder):
     ])
 
 
-@pytest.mark.parametrize("mode", [WHOLE, BLOCKS])
-def test_quirks_of_the_feed(spark, tmp_path, tiny_blocks, mode):
+def test_quirks_of_the_feed(spark, tmp_path, blocks):
     quirks(tmp_path / "in")
-    report = ingest(spark, str(tmp_path / "in"), str(tmp_path / "bronze"), split_bytes=mode)
+    report = ingest(spark, str(tmp_path / "in"), str(tmp_path / "bronze"))
     assert report.imported == {"2020DATA.CSV": 5}
     assert report.rejected == {"2020DATA.CSV": 2}
     assert report.unparseable == {("2020DATA.CSV", "RECVDATE"): 1, ("2020DATA.CSV", "AGE_YRS"): 1}
@@ -66,20 +66,72 @@ def test_quirks_of_the_feed(spark, tmp_path, tiny_blocks, mode):
     assert len(rejects) == 2 and any("too,short" in r.csv_line for r in rejects)
 
 
-def test_both_readers_agree_on_many_rows(spark, tmp_path, tiny_blocks):
+def test_records_do_not_depend_on_the_block_size(spark, tmp_path, blocks):
     rows = [
         sub(f"{i:07d}", SYMPTOM_TEXT=("x\r\n" * (i % 5)) + ('"q"' if i % 3 else "") + "é" * (i % 7))
         for i in range(200)
     ]
     write_feed(tmp_path / "in" / "2021DATA.csv", "submissions", rows)
-    seen = []
-    for mode in (WHOLE, BLOCKS):
-        target = str(tmp_path / f"bronze{mode}")
-        ingest(spark, str(tmp_path / "in"), target, split_bytes=mode)
-        table = bronze_table(spark, target, "submissions")
-        seen.append(sorted(map(tuple, table.select("CASE_ID", "FILE_LINE_NO", "SYMPTOM_TEXT").collect())))
-    assert seen[0] == seen[1] and len(seen[0]) == 200
-    assert [r[1] for r in seen[0]] == list(range(1, 201))
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "b"))
+    table = bronze_table(spark, str(tmp_path / "b"), "submissions")
+    found = sorted(map(tuple, table.select("CASE_ID", "FILE_LINE_NO", "SYMPTOM_TEXT").collect()))
+    assert [r[:2] for r in found] == [(f"{i:07d}", i + 1) for i in range(200)]
+    assert all((t or "") == ("x\n" * (i % 5)) + ('"q"' if i % 3 else "") + "é" * (i % 7) for i, (_, _, t) in enumerate(found))
+
+
+def _file_of(folder, rows: list[str], end: str = "\n"):
+    """A vaccine file of raw lines."""
+    from caselight import fixed_values as fv
+
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "2020VAX.csv").write_bytes(end.join([",".join(fv.VACCINE_COLUMNS), *rows, ""]).encode("latin-1"))
+    return len(fv.VACCINE_COLUMNS)
+
+
+def _vaccines(spark, tmp_path):
+    report = ingest(spark, str(tmp_path / "in"), str(tmp_path / "b"))
+    rows = bronze_table(spark, str(tmp_path / "b"), "vaccines").select("CASE_ID", "VAX_TYPE").collect()
+    return report.imported["2020VAX.CSV"], report.rejected["2020VAX.CSV"], {r[0]: r[1] for r in rows}
+
+
+def _line(i: int, kind: str) -> str:
+    return ",".join([f"{i:07d}", kind, *[""] * 6])
+
+
+def test_a_quote_inside_a_field_opens_nothing(spark, tmp_path, blocks):
+    _file_of(tmp_path / "in", [_line(i, "5'11\" tall" if i == 3 else "FLU4") for i in range(20)])
+    assert _vaccines(spark, tmp_path)[:2] == (20, 0)
+
+
+def test_a_lone_carriage_return_ends_a_record(spark, tmp_path, blocks):
+    _file_of(tmp_path / "in", [_line(0, "A"), _line(1, "B") + "\r" + _line(2, "C"), _line(3, '"D\rE"'), _line(4, "F")])
+    imported, rejected, rows = _vaccines(spark, tmp_path)
+    assert (imported, rejected) == (5, 0) and rows["0000003"] == "D\nE"
+
+
+def test_an_open_quote_costs_its_own_line(spark, tmp_path, blocks):
+    _file_of(tmp_path / "in", [_line(i, '"open' if i == 3 else '"x, y"' if i % 4 == 1 else "FLU4") for i in range(20)])
+    imported, rejected, rows = _vaccines(spark, tmp_path)
+    assert imported == 19 and rejected == 1 and "0000003" not in rows and rows["0000005"] == "x, y"
+
+
+def test_a_full_load_replaces_every_table(spark, tmp_path):
+    write_feed(tmp_path / "one" / "2020DATA.csv", "submissions", [sub("1")])
+    write_feed(tmp_path / "one" / "2020VAX.csv", "vaccines", [record("vaccines", CASE_ID="1", VAX_TYPE="FLU4")])
+    write_feed(tmp_path / "two" / "2021DATA.csv", "submissions", [sub("2")])
+    ingest(spark, str(tmp_path / "one"), str(tmp_path / "b"))
+    ingest(spark, str(tmp_path / "two"), str(tmp_path / "b"))
+    assert bronze_table(spark, str(tmp_path / "b"), "vaccines").count() == 0
+    assert [r.CASE_ID for r in bronze_table(spark, str(tmp_path / "b"), "submissions").collect()] == ["2"]
+
+
+def test_a_failed_file_has_an_audit_row(spark, tmp_path):
+    write_feed(tmp_path / "in" / "2020DATA.csv", "submissions", [sub("1")])
+    (tmp_path / "in" / "2021DATA.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(FeedError):
+        ingest(spark, str(tmp_path / "in"), str(tmp_path / "b"))
+    audit = {r.file_name: r.rows_imported for r in spark.read.parquet(str(tmp_path / "b" / "import_summary")).collect()}
+    assert audit == {"2020DATA.CSV": 1, "2021DATA.CSV": 0}
 
 
 def test_numbering_runs_across_chunks(spark, tmp_path, monkeypatch):
