@@ -127,7 +127,6 @@ PAGE_LIMIT_MAX = 500
 SORT_FIELDS = ["VAX_DATE", "AGE_YRS", "NUMDAYS", "NUM_VAX", "FOLLOWUP_COUNT", "CASE_ID"]
 EXCERPT_LINES = 10
 ENUM_VALUE_LIMIT = 200
-LIST_VALUE_LIMIT = 300
 NUMERIC_VALUE_LIMIT = 20
 TERM_SUGGESTIONS = 50
 VAX_TYPE_LIMIT = 500

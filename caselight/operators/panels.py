@@ -209,7 +209,8 @@ def _shape(counts: DataFrame, key: str, rate: object) -> DataFrame:
     by_count = isinstance(panel, VaccinePanel) or panel.by_count
     rows = counts.filter(F.col("panel") == key)
     if by_count:
-        order = [F.desc("count"), F.asc_nulls_first("pos"), F.asc("label")]
+        # by the raw count: scaling may make counts equal
+        order = [F.desc("n"), F.asc_nulls_first("pos"), F.asc("label")]
     else:
         order = [F.asc_nulls_first("pos")]
     rows = rows.withColumn("count", derive.scaled(F.col("n"), rate))
@@ -314,7 +315,7 @@ def _in_place(counts: DataFrame, keys: Sequence[str], rate: object) -> DataFrame
         # only a few labels per panel: sex values, outcome flags, history fields, bins
         is_ranked = F.col("panel").isin(ranked)
         rank = F.row_number().over(
-            Window.partitionBy("panel").orderBy(F.desc("count"), F.asc_nulls_first("pos"), F.asc("label"))
+            Window.partitionBy("panel").orderBy(F.desc("n"), F.asc_nulls_first("pos"), F.asc("label"))
         )
         counts = counts.withColumn("pos", F.when(is_ranked, rank).otherwise(F.col("pos")))
     return counts

@@ -77,8 +77,16 @@ def field_profiles(mart: Mart) -> DataFrame:
         F.lit("SYMPTOMS").alias("field"), F.lit("text").alias("kind"),
         empty.alias("min"), empty.alias("max"), "distinct_values",
     )
-    frames = [texts, numbers.select(*PROFILE), static, terms]
-    return reduce(DataFrame.unionByName, frames).orderBy("field")
+    # fields without a value have a row as well
+    unseen = ", ".join(
+        f"('{f}', '{k}')" for k, fields in (("enum", [*fv.STRING_FIELDS, "VAX_TYPES", "VAX_MANU"]),
+                                            ("numeric", fv.NUMBER_FIELDS)) for f in fields)
+    every = mart.spark.sql(f"SELECT field, kind AS usual FROM VALUES {unseen} AS t(field, kind)")
+    seen = texts.unionByName(numbers.select(*PROFILE))
+    found = every.join(seen, "field", "left").select(
+        "field", F.coalesce("kind", "usual").alias("kind"), "min", "max",
+        F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
+    return reduce(DataFrame.unionByName, [found, static, terms]).orderBy("field")
 
 
 def _first_values(values: DataFrame, order: str, limit: int) -> DataFrame:
@@ -100,11 +108,13 @@ def field_values(mart: Mart) -> DataFrame:
     values of low-cardinality numbers, and the most reported terms as suggestions."""
     texts = _first_values(_few(string_values(mart), fv.ENUM_VALUE_LIMIT), "value", fv.ENUM_VALUE_LIMIT)
     members = member_values(mart)
-    types = _first_values(members.filter("field = 'VAX_TYPES'"), "value", fv.LIST_VALUE_LIMIT)
+    in_order = F.row_number().over(Window.partitionBy("field").orderBy("value"))
+    types = members.filter("field = 'VAX_TYPES'").withColumn("pos", in_order)
     # manufacturers are all offered; they are sorted by the reader, as range-partitioned output
     makers = members.filter("field = 'VAX_MANU'").withColumn("pos", F.lit(None).cast("int"))
-    numbers = _first_values(_few(number_values(mart), fv.NUMERIC_VALUE_LIMIT), "value", fv.NUMERIC_VALUE_LIMIT)
-    numbers = numbers.withColumn("value", F.col("value").cast("bigint").cast("string"))
+    few = _few(number_values(mart), fv.NUMERIC_VALUE_LIMIT)
+    few = few.withColumn("value", F.rint("value").cast("bigint")).distinct()
+    numbers = _first_values(few, "value", fv.NUMERIC_VALUE_LIMIT).withColumn("value", F.col("value").cast("string"))
     terms = term_suggestions(mart).select(
         F.lit("SYMPTOMS").alias("field"), "pos", F.col("SYMPTOM").alias("value")
     )
@@ -138,25 +148,21 @@ def describe_field(mart: Mart, name: str) -> tuple[DataFrame, DataFrame]:
     return field_profiles(mart).filter(wanted), field_values(mart).filter(wanted)
 
 
-def vaccine_types(mart: Mart, limit: int = fv.VAX_TYPE_LIMIT) -> DataFrame:
-    """Vaccine types by number of distinct cases, cases without a report included."""
-    return (
-        mart.reports_vax.select(fv.CASE_ID, "VAX_TYPE")
-        .distinct()
-        .groupBy("VAX_TYPE")
-        .agg(F.count("*").alias("cases"))
-        .orderBy(F.desc("cases"), F.asc("VAX_TYPE"))
-        .limit(limit)
-    )
-
-
-def vaccine_type_choices(mart: Mart, containing: str = "") -> DataFrame:
-    """The type picker: alphabetical, narrowed to types containing a text (any case)."""
-    types = vaccine_types(mart)
+def vaccine_types(mart: Mart, limit: int | None = fv.VAX_TYPE_LIMIT, containing: str = "") -> DataFrame:
+    """Vaccine types by number of distinct cases, cases without a report included: of those that contain
+    a text (any case) the ``limit`` most frequent, or all."""
+    types = mart.reports_vax.select(fv.CASE_ID, "VAX_TYPE")
     text = containing.strip().upper()
     if text:
         types = types.filter(F.upper("VAX_TYPE").contains(text))
-    return types.select("VAX_TYPE").orderBy("VAX_TYPE")
+    counted = types.distinct().groupBy("VAX_TYPE").agg(F.count("*").alias("cases")).orderBy(
+        F.desc("cases"), F.asc("VAX_TYPE"))
+    return counted if limit is None else counted.limit(limit)
+
+
+def vaccine_type_choices(mart: Mart, containing: str = "", limit: int | None = None) -> DataFrame:
+    """The type picker: alphabetical, narrowed to types containing a text (any case)."""
+    return vaccine_types(mart, limit, containing).select("VAX_TYPE").orderBy("VAX_TYPE")
 
 
 def status(mart: Mart) -> DataFrame:

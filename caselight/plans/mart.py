@@ -105,10 +105,13 @@ def build_model(
     raw: RawTables,
     spark: SparkSession,
     folder: str,
-    max_terms: int | None = fv.MAX_TERMS,
+    max_terms: int | None = None,
     buckets: int | None = None,
 ) -> Mart:
-    """Write a new version, check it, and only then publish it."""
+    """Write a new version, check it, and only then publish it.
+
+    ``max_terms`` stops a build with a larger vocabulary, for readers whose term ids are narrow.
+    """
     if buckets is None:
         buckets = bucket_count(spark, raw.submissions, raw.vaccines, raw.terms)
     store = ModelStore(spark, folder, uuid.uuid4().hex, buckets)

@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables that cut lineage.
 
     ``spark.checkpoint.dir`` names it. Where that is unset, a cluster falls back on its SQL
-    warehouse (shared by definition) and only a local master on a temporary folder.
+    warehouse if that is in a shared store, and only a local master on a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -43,5 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="caselight-")
     else:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if folder.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

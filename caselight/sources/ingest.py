@@ -203,6 +203,9 @@ def _load_table(
     accepted = staged.filter(F.col(REJECTED).isNull()).drop(REJECTED)
     rejects = staged.filter(F.col(REJECTED).isNotNull())
 
+    repeated = accepted.groupBy("FILE_NAME", "path", "ordinal").agg(F.count("*").alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        raise FeedError(f"{table}: rows of one file share a line number")
     _write(number_lines(typed(accepted, table)), f"{bronze}/{table}", append)
 
     bad = unparseable_counts(accepted, table)

@@ -110,12 +110,17 @@ class ModelStore:
         return cls(spark, folder, latest.version, latest.buckets)
 
 
+#: Buckets that Spark takes at most unless ``spark.sql.sources.bucketing.maxBuckets`` says otherwise.
+SPARK_MAX_BUCKETS = 100_000
+
+
 def bucket_count(spark: SparkSession, *inputs: DataFrame, bytes_per_bucket: int = 128 << 20) -> int:
     """Buckets for a model over ``inputs``: enough for their size (of the files, as the scan
-    reports it), no fewer than the cores, no more than the shuffle partitions."""
+    reports it), no fewer than the cores, no more than Spark takes."""
     total = 0
     for df in inputs:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         total += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    wanted = max(-(-total // bytes_per_bucket), spark.sparkContext.defaultParallelism)
-    return min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", str(SPARK_MAX_BUCKETS)))
+    return min(max(-(-total // bytes_per_bucket), least), most)

@@ -62,6 +62,12 @@ def rounded(df: DataFrame) -> DataFrame:
 
 # --- raw tables and model ---------------------------------------------------------
 
+# the outcome labels of a submission, in SQL
+_OUTCOMES = """('::', CASE WHEN DIED = 'Y' THEN 'DIED' END,
+      CASE WHEN L_THREAT = 'Y' THEN 'LIFE-THREAT' END, CASE WHEN HOSPITAL = 'Y' THEN 'HOSPITAL' END,
+      CASE WHEN DISABLE = 'Y' THEN 'DISABLED' END, CASE WHEN ER_VISIT = 'Y' THEN 'ER' END,
+      CASE WHEN ER_ED_VISIT = 'Y' THEN 'ER/ED' END, CASE WHEN RECOVD = 'N' THEN 'NOT RECOVERED' END)"""
+
 on_raw("scan_submissions", lambda raw: raw.submissions, oracle.raw_sql("SELECT * FROM submissions"))
 on_raw("scan_vaccines", lambda raw: raw.vaccines, oracle.raw_sql("SELECT * FROM vaccines"))
 on_raw("scan_terms", lambda raw: raw.terms, oracle.raw_sql("SELECT * FROM terms"))
@@ -110,10 +116,7 @@ on_raw(
     "function_outcome_labels",
     lambda raw: raw.submissions.groupBy(F.array_join(outcome_labels(), "::").alias("labels")).agg(
         F.count("*").alias("n")),
-    oracle.raw_sql("""SELECT concat_ws('::', CASE WHEN DIED = 'Y' THEN 'DIED' END,
-      CASE WHEN L_THREAT = 'Y' THEN 'LIFE-THREAT' END, CASE WHEN HOSPITAL = 'Y' THEN 'HOSPITAL' END,
-      CASE WHEN DISABLE = 'Y' THEN 'DISABLED' END, CASE WHEN ER_VISIT = 'Y' THEN 'ER' END,
-      CASE WHEN ER_ED_VISIT = 'Y' THEN 'ER/ED' END, CASE WHEN RECOVD = 'N' THEN 'NOT RECOVERED' END) AS labels,
+    oracle.raw_sql(f"""SELECT concat_ws{_OUTCOMES} AS labels,
       count(*) AS n FROM submissions GROUP BY 1"""),
 )
 
@@ -371,7 +374,6 @@ on_mart("cases_total", lambda mart: cases.case_total(mart, FilterSpec.from_reque
 
 _ISO = ", ".join(f"strftime({d}, '%Y-%m-%d') AS {d}" for d in ("RECVDATE", "VAX_DATE", "ONSET_DATE", "DATEDIED"))
 _CLEANED = ", ".join(f"{oracle.cleaned(f)} AS {f}" for f in fv.HISTORY_FIELDS)
-_OUTCOMES = CATALOG["function_outcome_labels"].sql.split("SELECT concat_ws")[-1].split(" AS labels")[0]
 _SUBMISSIONS_SQL = f"""SELECT CASE_ID, CAST(coalesce(REPORT_ORDER, 1) AS BIGINT) AS REPORT_ORDER, FILE_LINE_NO,
   IS_DOMESTIC, {_ISO}, AGE_YRS, SEX, STATE, {oracle.NUMDAYS} AS NUMDAYS, V_ADMINBY, V_FUNDBY, SPLTTYPE, DIED,
   L_THREAT, HOSPITAL, DISABLE, RECOVD, ER_VISIT, ER_ED_VISIT, concat_ws{_OUTCOMES} AS OUTCOMES, SYMPTOM_TEXT,
@@ -420,10 +422,9 @@ _VALUES = _union(
     [f"""SELECT '{f}' AS field, {_RANK} AS pos, v AS value FROM (SELECT DISTINCT {f} AS v FROM reports
        WHERE {f} <> '') WHERE (SELECT count(DISTINCT {f}) FROM reports WHERE {f} <> '') <= 200"""
      for f in fv.STRING_FIELDS]
-    + [f"""SELECT '{f}', {_RANK}, CAST(CAST(v AS BIGINT) AS VARCHAR) FROM (SELECT DISTINCT {f} AS v FROM reports
+    + [f"""SELECT '{f}', {_RANK}, CAST(CAST(v AS BIGINT) AS VARCHAR) FROM (SELECT DISTINCT CAST({f} AS BIGINT) AS v FROM reports
        WHERE {f} IS NOT NULL) WHERE (SELECT count(DISTINCT {f}) FROM reports) <= 20""" for f in fv.NUMBER_FIELDS]
-    + [f"""SELECT 'VAX_TYPES', {_RANK}, v FROM (SELECT DISTINCT unnest(VAX_TYPES) AS v FROM reports)
-       ORDER BY v LIMIT 300""",
+    + [f"""SELECT 'VAX_TYPES', {_RANK}, v FROM (SELECT DISTINCT unnest(VAX_TYPES) AS v FROM reports)""",
        "SELECT DISTINCT 'VAX_MANU', CAST(NULL AS INTEGER), VAX_MANU FROM reports_vax WHERE VAX_MANU <> ''",
        """SELECT 'SYMPTOMS', CAST(row_number() OVER (ORDER BY bg_n DESC, SYMPTOM) AS INTEGER), SYMPTOM
        FROM symptom_bg JOIN symptoms USING (SYMPTOM_ID) ORDER BY bg_n DESC, SYMPTOM LIMIT 50"""]
@@ -435,7 +436,7 @@ on_mart("field_values", profile.field_values, oracle.sql(_VALUES))
 _TYPES = "SELECT VAX_TYPE, count(DISTINCT CASE_ID) AS cases FROM reports_vax GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500"
 on_mart("list_vaccine_types", profile.vaccine_types, oracle.sql(_TYPES))
 on_mart("list_vaccine_type_choices", lambda mart: profile.vaccine_type_choices(mart, " m "),
-        oracle.sql(f"SELECT VAX_TYPE FROM ({_TYPES}) WHERE upper(VAX_TYPE) LIKE '%M%'"))
+        oracle.sql("SELECT DISTINCT VAX_TYPE FROM reports_vax WHERE upper(VAX_TYPE) LIKE '%M%'"))
 on_mart("status", profile.status,
         oracle.sql("SELECT (SELECT count(*) FROM reports) AS records, (SELECT count(*) FROM reports_vax) AS vax_rows"))
 on_mart("top_terms_for_type", lambda mart: signals.top_terms_for_type(mart, "PROMO"),
