@@ -35,7 +35,7 @@ SHINGLE_WORDS = 5
 RARE = 64
 #: Frequent shingles that tasks may hold as one sorted array (8 bytes each); beyond it they are joined.
 HELD_SHINGLES = 2_000_000
-#: Pairs of a bucket are made in blocks of this many members.
+#: Buckets of more members than this are compared in blocks of about this many.
 BLOCK = 64
 #: Rounds in which each bucket is linked through one member, before what is left is paired.
 STAR_ROUNDS = 2
@@ -146,7 +146,8 @@ def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def index_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, rare: int = RARE,
              held: int = HELD_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(sig, set_key, n), the entries; and (set_key, n, last, f, shared) of the sets indexed by rare shingles alone.
+    """(sig, set_key, n, central), the entries; and (set_key, n, last, f, shared) of the sets indexed by rare
+    shingles alone.
 
     ``sets``: (set_key, rep, n, last, prefix), distinct. ``shared`` are the prefix's rare shingles that another
     set's prefix holds, ``f`` counts its frequent ones. A linked set holds all of the prefix but a quarter of n,
@@ -186,10 +187,11 @@ def index_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, rare: int =
             def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     found = [np.array(s, np.int64).view(np.uint64) for s in batch.column("shingles").to_pylist()]
-                    made = [_signed(signatures(s, _among(s, shared.value))) for s in found]
-                    yield _entry_batch(batch.column("set_key"), batch.column("n"), made)
+                    marks = [_among(s, shared.value) for s in found]
+                    made = [_signed(signatures(s, m)) for s, m in zip(found, marks)]
+                    yield _entry_batch(batch.column("set_key"), batch.column("n"), marks, made)
 
-            more = whole.mapInArrow(entries_of, "set_key long, n long, sigs array<long>")
+            more = whole.mapInArrow(entries_of, _ENTRIES)
         else:
             flagged = whole.select("set_key", "n", F.explode("shingles").alias("sig")).join(
                 frequent.withColumn("_f", F.lit(True)), "sig", "left").groupBy("set_key", "n").agg(
@@ -197,15 +199,16 @@ def index_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, rare: int =
 
             def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    made = []
+                    marks, made = [], []
                     for rows in batch.column("all").to_pylist():
                         sigs = np.array([r["sig"] for r in rows], np.int64).view(np.uint64)
                         order = np.argsort(sigs)
-                        made.append(_signed(signatures(sigs[order], np.array([r["f"] for r in rows], bool)[order])))
-                    yield _entry_batch(batch.column("set_key"), batch.column("n"), made)
+                        marks.append(np.array([r["f"] for r in rows], bool)[order])
+                        made.append(_signed(signatures(sigs[order], marks[-1])))
+                    yield _entry_batch(batch.column("set_key"), batch.column("n"), marks, made)
 
-            more = flagged.mapInArrow(entries_of, "set_key long, n long, sigs array<long>")
-        more = settled(spark, more, "dense-entries").select("set_key", "n", F.explode("sigs").alias("sig"))
+            more = flagged.mapInArrow(entries_of, _ENTRIES)
+        more = settled(spark, more, "dense-entries").select("set_key", "n", "central", F.explode("sigs").alias("sig"))
         single = single.union(more.select("sig")).distinct()
     lists = entries.join(single, "sig").groupBy("set_key").agg(F.collect_list("sig").alias("shared"))
     lists = lists.join(sets.select("set_key", "n", "last"), "set_key")
@@ -216,8 +219,9 @@ def index_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, rare: int =
             "dense is null or not dense").withColumn("f", F.coalesce("f", F.lit(0))).drop("dense")
     lists = settled(spark, lists.where(
         F.size("shared") + F.col("f") >= _prefix_length(F.col("n")) - F.floor(F.col("n") / 4)), "shared-prefixes")
-    index = lists.select(F.explode("shared").alias("sig"), "set_key", "n")
-    return (index if more is None else index.unionAll(more.select("sig", "set_key", "n"))), lists
+    central = (F.size("shared") + F.col("f")) / _prefix_length(F.col("n"))
+    index = lists.select(F.explode("shared").alias("sig"), "set_key", "n", central.alias("central"))
+    return (index if more is None else index.unionAll(more.select("sig", "set_key", "n", "central"))), lists
 
 
 def _prefix_length(n: Column) -> Column:
@@ -248,8 +252,12 @@ def _among(shingles: np.ndarray, sorted_frequent: np.ndarray) -> np.ndarray:
     return sorted_frequent[at] == shingles
 
 
-def _entry_batch(keys: pa.Array, sizes: pa.Array, made: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([keys, sizes, list_array(made)], ["set_key", "n", "sigs"])
+_ENTRIES = "set_key long, n long, central double, sigs array<long>"
+
+
+def _entry_batch(keys: pa.Array, sizes: pa.Array, marks: list[np.ndarray], made: list[np.ndarray]) -> pa.RecordBatch:
+    central = pa.array([float(m.mean()) for m in marks], pa.float64())
+    return pa.RecordBatch.from_arrays([keys, sizes, central, list_array(made)], ["set_key", "n", "central", "sigs"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -275,8 +283,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def linked(spark: SparkSession, docs: DataFrame, names: DataFrame, index: DataFrame, lists: DataFrame) -> DataFrame:
     """(node, label) of sets that link with another: the components of all links.
 
-    A bucket of m sets is first linked through one member, m - 1 pairs; only buckets that still hold several
-    components go on, with another member, and at last all their pairs across components are made, in blocks.
+    A bucket of m sets is first linked through its most central member, m - 1 pairs; only buckets that still hold several
+    components go on, with another member. At last small buckets make their pairs across components, and the sets
+    of large ones are compared in blocks.
     Pairs within a component need no check, so a group of near copies costs its size, not its square.
     """
     edges: DataFrame | None = None
@@ -286,13 +295,14 @@ def linked(spark: SparkSession, docs: DataFrame, names: DataFrame, index: DataFr
     for turn in range(STAR_ROUNDS + 1):
         if labels is not None:
             named = index.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-                "sig", "set_key", "n", F.coalesce("label", "set_key").alias("label"))
+                "sig", "set_key", "n", "central", F.coalesce("label", "set_key").alias("label"))
             several = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                F.count(F.lit(1)).alias("size")).where("lo <> hi")
             left = settled(spark, named.join(several.select("sig", "size"), "sig"), f"left-{turn}")
         if turn < STAR_ROUNDS:
-            hub = F.min(F.struct(F.xxhash64("set_key", F.lit(turn), *([F.col("sig") % 8] if turn else [])).alias("p"),
-                                 "set_key", "n", *(["label"] if turn else []))).alias("hub")
+            # first the most central member, to which all edited copies link, then any of eight
+            rank = F.xxhash64("set_key", F.col("sig") % 8) if turn else -F.col("central")
+            hub = F.min(F.struct(rank.alias("rank"), "set_key", "n", *(["label"] if turn else []))).alias("hub")
             pairs = left.join(left.groupBy("sig").agg(hub), "sig").where(
                 (F.col("hub.set_key") != F.col("set_key")) & may_link(F.col("n"), F.col("hub.n")))
             if turn:
@@ -300,19 +310,29 @@ def linked(spark: SparkSession, docs: DataFrame, names: DataFrame, index: DataFr
             one, two = F.col("set_key"), F.col("hub.set_key")
             pairs = pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
         else:
-            pairs = _across(left)
+            pairs = _across(left.where(F.col("size") <= BLOCK))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settled(spark, possible(pairs, lists), f"pairs-{turn}")
-        if pairs.isEmpty():
+        large = left.where(F.col("size") > BLOCK) if turn == STAR_ROUNDS else None
+        if large is not None and large.isEmpty():
+            large = None
+        if pairs.isEmpty() and large is None:
+            if turn < STAR_ROUNDS and turn:
+                continue
             break
         tested = pairs if tested is None else tested.unionAll(pairs)
-        wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(names, "set_key")
-        wanted = small_side(settled(spark, wanted, f"wanted-{turn}"))
+        wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
+        if large is not None:
+            wanted = wanted.union(large.select("set_key"))
+        wanted = small_side(settled(spark, wanted.distinct().join(names, "set_key"), f"wanted-{turn}"))
         texts = settled(spark, _right_texts(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select(
             "set_key", "text")), f"texts-{turn}")
-        found = settled(spark, verified(pairs, texts), f"links-{turn}")
+        found = verified(pairs, texts)
+        if large is not None:
+            found = found.unionAll(linked_in_blocks(spark, large, texts))
+        found = settled(spark, found, f"links-{turn}")
         edges = found if edges is None else edges.unionAll(found)
         labels = components(spark, edges, f"sets-{turn}")
     if labels is None:
@@ -333,17 +353,57 @@ def _right_texts(texts: DataFrame) -> DataFrame:
 
 
 def _across(left: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket. A bucket is cut in blocks; each two blocks meet under one key."""
-    blocks = (F.col("size") / BLOCK + 1).cast("int")
-    own = F.pmod(F.xxhash64("set_key"), blocks).cast("int")
-    met = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "sig", "set_key", "n", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    one, two = met.alias("one"), met.alias("two")
+    """Pairs of different components in buckets of at most ``BLOCK`` members."""
+    one, two = left.alias("one"), left.alias("two")
     c = F.col
-    same = (c("one.sig") == c("two.sig")) & (c("one.x") == c("two.x")) & (c("one.y") == c("two.y"))
-    once = (c("one.x") == c("one.y")) | (c("one.own") != c("two.own"))
-    return one.join(two, same & once & (c("one.set_key") < c("two.set_key")) & (c("one.label") != c("two.label"))
-                    & may_link(c("one.n"), c("two.n"))).select(c("one.set_key").alias("a"), c("two.set_key").alias("b"))
+    return one.join(two, (c("one.sig") == c("two.sig")) & (c("one.set_key") < c("two.set_key"))
+                    & (c("one.label") != c("two.label")) & may_link(c("one.n"), c("two.n"))).select(
+        c("one.set_key").alias("a"), c("two.set_key").alias("b"))
+
+
+def linked_in_blocks(spark: SparkSession, large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components among sets that meet in large buckets, each two sets compared once.
+
+    Near copies that do not link share hundreds of buckets. Sets that any large bucket joins form a group; its
+    sets are dealt to blocks of about ``BLOCK``, and each two blocks meet in one task, as texts, where overlaps are
+    counted together. A group of g sets makes g * g / BLOCK rows, no pairs.
+    """
+    hubs = large.groupBy("sig").agg(F.min("set_key").alias("hub"))
+    groups = components(spark, large.join(hubs, "sig").select(F.col("set_key").alias("a"), F.col("hub").alias("b")), "groups")
+    members = settled(spark, large.select("set_key", "label").distinct().join(
+        groups.select(F.col("node").alias("set_key"), F.col("label").alias("group")), "set_key"), "members")
+    sizes = settled(spark, members.groupBy("group").agg(
+        (F.count(F.lit(1)) / BLOCK + 1).cast("int").alias("blocks")), "group-sizes")
+    dealt = members.join(small_side(sizes), "group").withColumn("own", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "group", "set_key", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def check(table: pa.Table) -> pa.Table:
+        keys = table["set_key"].to_numpy()
+        labels, own = table["label"].to_numpy(), table["own"].to_numpy()
+        sets = [shingle_set(t) for t in table["text"].to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), sizes)
+        shared = times[at] > 1
+        rows, columns = rows[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+        both = np.zeros((len(sets), len(sets)), np.float64)
+        order = np.argsort(columns, kind="stable")
+        rows, columns = rows[order], columns[order]
+        step = 8192
+        for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, step):
+            a, b = np.searchsorted(columns, [first, first + step])
+            held = np.zeros((len(sets), step), np.float32)
+            held[rows[a:b], columns[a:b] - first] = 1
+            both += held @ held.T
+        link = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
+        link &= (labels[:, None] != labels[None, :]) & (keys[:, None] < keys[None, :])
+        if table["x"][0].as_py() != table["y"][0].as_py():
+            link &= own[:, None] != own[None, :]
+        i, j = np.nonzero(link)
+        return pa.table({"a": pa.array(keys[i], pa.int64()), "b": pa.array(keys[j], pa.int64())})
+
+    return met.join(texts, "set_key").groupBy("group", "x", "y").applyInArrow(check, "a long, b long")
 
 
 def classes(spark: SparkSession, docs: DataFrame, rare: int = RARE, held: int = HELD_SHINGLES) -> DataFrame:

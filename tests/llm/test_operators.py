@@ -45,6 +45,18 @@ def test_classes(spark, folder, rare, held):
     assert in_order(map(tuple, found)) == brute.classes(documents(folder))
 
 
+def test_classes_in_blocks(spark, monkeypatch):
+    """Every bucket of several components goes through the comparison in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    words = prose(3, 80).split()
+    docs = [(i, " ".join([*words[: 60 - i], *(f"new{i}x{k}" for k in range(i)), *words[60:]])) for i in range(0, 40, 2)]
+    docs += [(100 + i, prose(100 + i, 50)) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = ngram_join.classes(spark, df, 1).drop("set_key").collect()
+    assert in_order(map(tuple, found)) == brute.classes(docs)
+
+
 def test_prefixes_of_linked_sets_share_an_entry():
     r = np.random.default_rng(5)
     for _ in range(400):
