@@ -23,7 +23,7 @@ DEPTH = 4
 #: Pieces that share a block of the residual stream, on average.
 BLOCK_ROWS = 50_000
 #: Characters whose ids are held at once in a Python worker.
-TOGETHER = 1_500_000
+TOGETHER = 2_500_000
 
 _PIECE = ("piece long, part int, nth long, class int, doc_id {kind}, start long, length long, ids_crc32 long, "
           "doc_tokens long, ids binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words a Python worker remembers at least between batches; it holds twice as many at most.
-REMEMBERED = 150_000
+REMEMBERED = 280_000
 #: Words that one call of the library takes together.
 TOGETHER = 512
 
