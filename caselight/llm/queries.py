@@ -8,6 +8,7 @@ from caselight.llm.ngram_join import op1_ngram_jaccard_join
 from caselight.llm.packing import op2_packing
 from caselight.llm.passages import op5_repeated_passages
 from caselight.llm.quality import op8_quality_rules
+from caselight.llm.secret_sql import secret_scan_sql
 from caselight.llm.secrets import op3_secret_scan
 from caselight.llm.sharding import op10_rendezvous_shards
 from caselight.llm.token_counts import op6_token_counts
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
-SQL: dict[str, str] = {}
+#: The other queries hash, tokenize, align or learn, which SQL can't express: tests/llm holds plain versions.
+SQL: dict[str, str] = {"op3_secret_scan": secret_scan_sql()}

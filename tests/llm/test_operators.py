@@ -167,6 +167,15 @@ def test_every_match_satisfies_its_trigram_query():
     assert trigram_query("[0-9a-f]+") == []
 
 
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_agrees_with_sql(spark, name):
+    from tools.compare_with_sql import connect, difference
+
+    df = queries.QUERIES[name](spark, SMALL)
+    result = connect(SMALL).execute(queries.SQL[name])
+    assert difference(df.collect(), result.fetchall(), df.columns, [d[0] for d in result.description]) is None
+
+
 def test_secrets_without_python(spark, odd):
     plan = queries.QUERIES["op3_secret_scan"](spark, odd)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
