@@ -25,12 +25,12 @@ LEAST_SCORE = 0.6
 #: Alignments are made over a stretch of the document this much longer than the item, on each side of its seeds.
 SLACK_WORDS = 8
 
-_PUNCTUATION = {c: " " for c in range(128) if not chr(c).isalnum()}
+_PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
 def normal_words(text: str | None) -> Words:
     """Words lower-cased, ASCII punctuation read as spaces."""
-    return Words((text or "").lower().translate(_PUNCTUATION), fold=False)
+    return Words((text or "").lower(), fold=False, table=_PUNCTUATION)
 
 
 @dataclass

@@ -78,11 +78,11 @@ def _power(n: int, forward: bool) -> np.ndarray:
 
 
 class Words:
-    """The words of a text (A-Z lower-cased if ``fold``), and 64-bit hashes of runs of them."""
+    """The words of a text (A-Z lower-cased if ``fold``, else bytes as ``table`` says), and 64-bit hashes of runs of them."""
 
-    def __init__(self, text: str | None, fold: bool = True):
+    def __init__(self, text: str | None, fold: bool = True, table: bytes | None = None):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        self.words = (raw.translate(_LOWER) if fold else raw).split()
+        self.words = raw.translate(_LOWER if fold else table).split()
         self.n = len(self.words)
         lengths = np.fromiter(map(len, self.words), np.int64, self.n)
         self.ends = np.cumsum(lengths + 1) - 1
