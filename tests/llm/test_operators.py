@@ -253,6 +253,34 @@ def test_clean_documents_have_no_passage(spark, tmp_path):
     assert all(r["start_word"] <= 80 and r["end_word"] >= 140 for r in rows)
 
 
+@pytest.mark.parametrize("n,edits", [(51, 1), (60, 1), (68, 1), (80, 2), (100, 2), (120, 3), (200, 5)])
+def test_edited_passages_are_found(n, edits):
+    """Against the passages' own similarity, by sets; edits lie evenly, which leaves the shortest runs between them."""
+    from caselight.llm.shared import Words
+
+    for turn in range(20):
+        kind = ("change", "insert", "drop")[turn % 3]
+        one = prose(1000 * n + turn, n).split()
+        two = list(one)
+        for k in range(edits, 0, -1):
+            at = k * n // (edits + 1)
+            two[at : at + (kind != "insert")] = [] if kind == "drop" else [f"new{k}"]
+        a, b = (brute.shingles(" ".join(w)) for w in (one, two))
+        assert 4 * len(a & b) >= 3 * len(a | b)
+        x, y = (Words(" ".join([prose(seed + turn, 70), *w, prose(seed + turn + 500, 90)])).runs(5)
+                for seed, w in ((1, one), (2000, two)))
+        windows = [passages.all_windows(z) for z in (x, y)]
+        shared = np.intersect1d(*(np.concatenate([s for _, s in w]) for w in windows))
+        (sig, place), (other, there) = (passages.joined_windows(w, shared) for w in windows)
+        seeds = [(i, j) for s, i in zip(sig, place) for t, j in zip(other, there) if s == t]
+        found = passages.shared_passages(x, y, seeds)
+        # words that an edit at the border leaves out are few
+        assert any(p <= 70 + 5 and q + 5 >= 70 + n - 5 for p, q, _, _ in found), (kind, turn, found)
+        for p, q, r, s in found:
+            u, v = set(x[p : q + 1].tolist()), set(y[r : s + 1].tolist())
+            assert min(q - p, s - r) >= 46 and 4 * len(u & v) >= 3 * len(u | v)
+
+
 def test_compact_windows_hold_every_stretch_once():
     values = np.random.default_rng(1).integers(0, 2**63, 60, dtype=np.uint64)
     windows = passages.compact_windows(values, 7)
