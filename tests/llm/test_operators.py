@@ -281,6 +281,22 @@ def test_edited_passages_are_found(n, edits):
             assert min(q - p, s - r) >= 46 and 4 * len(u & v) >= 3 * len(u | v)
 
 
+def found_passages(spark, folder, docs):
+    frame = spark.read.parquet(f"{write(folder, docs)}/documents.parquet").select("doc_id", "text")
+    found: dict = {}
+    for r in passages.passages(spark, frame).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    return found
+
+
+def test_every_place_of_a_passage_is_found(spark, tmp_path):
+    docs = [(1, " ".join([prose(1, 60), PASSAGE, prose(2, 300), PASSAGE, prose(3, 50)])),
+            (2, " ".join([prose(4, 90), PASSAGE, prose(5, 40)]))]
+    found = found_passages(spark, tmp_path, docs)
+    for doc, place in ((1, 60), (1, 420), (2, 90)):
+        assert any(a <= place and place + 60 <= b for a, b in found[doc]), (doc, place, found)
+
+
 def test_compact_windows_hold_every_stretch_once():
     values = np.random.default_rng(1).integers(0, 2**63, 60, dtype=np.uint64)
     windows = passages.compact_windows(values, 7)
