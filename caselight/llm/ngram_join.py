@@ -293,9 +293,10 @@ def linked(spark: SparkSession, docs: DataFrame, names: DataFrame, index: DataFr
     labels: DataFrame | None = None
     left = index
     for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            named = index.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-                "sig", "set_key", "n", "central", F.coalesce("label", "set_key").alias("label"))
+        if turn:
+            named = index.withColumn("label", F.col("set_key")) if labels is None else index.join(
+                labels.withColumnRenamed("node", "set_key"), "set_key", "left")
+            named = named.select("sig", "set_key", "n", "central", F.coalesce("label", "set_key").alias("label"))
             several = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                F.count(F.lit(1)).alias("size")).where("lo <> hi")
             left = settled(spark, named.join(several.select("sig", "size"), "sig"), f"left-{turn}")
@@ -319,9 +320,7 @@ def linked(spark: SparkSession, docs: DataFrame, names: DataFrame, index: DataFr
         if large is not None and large.isEmpty():
             large = None
         if pairs.isEmpty() and large is None:
-            if turn < STAR_ROUNDS and turn:
-                continue
-            break
+            continue
         tested = pairs if tested is None else tested.unionAll(pairs)
         wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
         if large is not None:

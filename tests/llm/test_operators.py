@@ -297,6 +297,24 @@ def test_every_place_of_a_passage_is_found(spark, tmp_path):
         assert any(a <= place and place + 60 <= b for a, b in found[doc]), (doc, place, found)
 
 
+@pytest.mark.parametrize("side", [16, 512])
+def test_passage_that_few_of_many_texts_hold(spark, monkeypatch, side):
+    """A signature of many texts (by a line too short to be a passage) does not hide what two or three of them share."""
+    monkeypatch.setattr(passages, "SIDE", side, raising=False)
+    line = " ".join(f"line{i}" for i in range(40))
+    texts = [(i, " ".join([prose(i, 60), line, prose(500 + i, 60)])) for i in range(120)]
+    for k in range(200, 230, 2):  # pairs whose line goes on in the same way, with one word changed
+        for j in range(2):
+            more = prose(900 + k, 20).split()
+            more[18] += "x" * j
+            texts.append((k + j, " ".join([prose(k + j, 60), line, *more, prose(700 + k + j, 60)])))
+    texts += [(300 + j, " ".join([prose(333, 60), line, prose(334, 60), prose(600 + j, 80 * j)])) for j in range(3)]
+    index = spark.createDataFrame([(7, k, 70, len(texts)) for k, _ in texts], "sig long, key long, place long, size long")
+    found = passages.repeated_passages(spark, index, spark.createDataFrame(texts, "key long, text string")).collect()
+    assert {r["key"] for r in found} == {k for k, _ in texts if k >= 200}
+    assert all(r["other"] // 100 == r["key"] // 100 and r["from"] <= 60 and r["to"] >= 115 for r in found)
+
+
 def test_compact_windows_hold_every_stretch_once():
     values = np.random.default_rng(1).integers(0, 2**63, 60, dtype=np.uint64)
     windows = passages.compact_windows(values, 7)
