@@ -1,4 +1,4 @@
-"""Operator 7: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment."""
+"""Operator 7: benchmark decontamination by n-gram seeds and Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -15,8 +15,6 @@ from caselight.llm.shared import Words, documents_of
 
 #: Words of a seed.
 SEED_WORDS = 3
-#: Seeds that each item keeps at least: its rarest half, ties included, or as many as this.
-KEPT_SEEDS = 8
 #: Benchmark text that one pass over the documents takes: more items make more passes, not larger tasks.
 BLOCK_BYTES = 16_000_000
 #: Word scores of the alignment; a pair's score is its best local alignment over that of a full match.
@@ -47,9 +45,9 @@ class Seeds:
     hashes: np.ndarray
     of: list[np.ndarray]
 
-    def owners(self, kept: list[np.ndarray]) -> tuple[np.ndarray, dict[int, list[int]]]:
+    def owners(self) -> tuple[np.ndarray, dict[int, list[int]]]:
         by_seed: dict[int, list[int]] = defaultdict(list)
-        for k, mine in enumerate(kept):
+        for k, mine in enumerate(self.of):
             for s in mine:
                 by_seed[int(self.hashes[s])].append(k)
         return np.array(sorted(by_seed), np.uint64), dict(by_seed)
@@ -75,26 +73,6 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Seeds]:
         yield seeds_of(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=repr))
 
 
-def seed_frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
-    """Documents that hold each seed, over all documents; a task sends one number per seed."""
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = _places(shared.value, np.unique(normal_words(text).runs(SEED_WORDS)))[1]
-                sums[found] += 1
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"seed": some, "n": sums[some]})
-
-    counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # one row per seed of the block at most
-    sums = np.zeros(len(hashes), np.int64)
-    sums[found["seed"]] = found["n"]
-    return sums
-
-
 def _places(sorted_hashes: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``runs`` of those that are in ``sorted_hashes``, and where they are there."""
     if not len(sorted_hashes) or not len(runs):
@@ -104,16 +82,6 @@ def _places(sorted_hashes: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np
     return hit, at[hit]
 
 
-def rarest(of: list[np.ndarray], frequencies: np.ndarray) -> list[np.ndarray]:
-    """Each item's seeds up to the frequency of its middle one (or of its ``KEPT_SEEDS``-th)."""
-    kept = []
-    for mine in of:
-        own = np.sort(frequencies[mine])
-        limit = own[min(len(own), max(KEPT_SEEDS, (len(own) + 1) // 2)) - 1]
-        kept.append(mine[frequencies[mine] <= limit])
-    return kept
-
-
 def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two word-id sequences (linear gaps), and its end in ``b``."""
     ramp = -GAP * np.arange(len(b) + 1)
@@ -157,9 +125,13 @@ def matches(words: Words, seeds: Seeds, known: np.ndarray, owners: dict[int, lis
                 last = position
                 continue
             low, high = max(0, first - reach), min(words.n, last + reach + SEED_WORDS)
-            score, start, end = local_match(item.words, words.words[low:high])
-            if score >= LEAST_SCORE and (best is None or score > best[0]):
-                best = (score, low + start, low + end)
+            stretch = words.words[low:high]
+            held = set(stretch)
+            # a score is no more than the share of the item's words that the stretch holds
+            if sum(w in held for w in item.words) / len(item.words) >= max(LEAST_SCORE, best[0] if best else 0):
+                score, start, end = local_match(item.words, stretch)
+                if score >= LEAST_SCORE and (best is None or score > best[0]):
+                    best = (score, low + start, low + end)
             if position is not None:
                 first = last = position
         if best:
@@ -170,8 +142,9 @@ def matches(words: Words, seeds: Seeds, known: np.ndarray, owners: dict[int, lis
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, item_id, score, start_word, end_word): items that a document holds, whole or edited.
 
-    Seeds are word trigrams; each item keeps its rarest over all documents, so common phrases start no
-    alignment, and an item that leaked into a third of the corpus still has seeds. Each pass over the
+    Seeds are all word trigrams of an item: which of them an edited copy keeps is not known, and frequencies
+    don't tell (exact copies make all others look rare). A common phrase starts no alignment where the words around
+    it rule the item out. Each pass over the
     documents takes a block of the benchmark of bounded size, which is broadcast; nothing of the
     documents but the matches is shuffled or collected.
     """
@@ -182,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     for seeds in item_blocks(benchmark):
         if not seeds.items:
             continue
-        known, owners = seeds.owners(rarest(seeds.of, seed_frequencies(docs, seeds.hashes)))
+        known, owners = seeds.owners()
         shared = spark.sparkContext.broadcast((seeds, known, owners))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
