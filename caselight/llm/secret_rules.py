@@ -18,20 +18,27 @@ class Rule:
     least: int = 0
 
 
+# A private key goes on to its END line, over header lines (which have dashes) or without any dash; without an END
+# line, over the base64 that follows.
+_KEY_END = r"-----END [A-Z ]*PRIVATE KEY-----"
+_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*" + _KEY_END
+        + r"|[\\\x09-\x0D\x20rn]*[A-Za-z][A-Za-z0-9-]*:[\s\S]*?" + _KEY_END
+        + r"|[\\\x09-\x0D\x20]+[A-Za-z0-9+/]{16,}[A-Za-z0-9+/=\\\x09-\x0D\x20]*)?")
+
 # The base rules (first three) and the rules added to them.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
          any_case=True, group=2, least=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]+", least=24),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("code_host", r"gh[oprsu]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abeoprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("payment", r"[rs]k_(live|test)_[A-Za-z0-9]{16,255}"),
+    Rule("private_key", _KEY),
+    Rule("code_host", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
+    Rule("payment", r"[rs]k_(live|test)_[A-Za-z0-9]{16,}"),
     Rule("web_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{16,4096}"),
-    Rule("bearer", r"bearer\x20{1,4}[A-Za-z0-9._~+/-]{20,4096}", any_case=True),
-    Rule("url_login", r"""://[^/\x00-\x20:@"'<>]{1,128}:[^/\x00-\x20:@"'<>]{3,128}@"""),
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}", any_case=True),
+    Rule("url_login", r"""://[^/\x00-\x20:@"'<>]+:[^/\x00-\x20:@"'<>]{3,}@"""),
 )
 BASE_KINDS = ("assign", "access", "hex")
 

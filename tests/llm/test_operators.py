@@ -176,6 +176,29 @@ def test_agrees_with_sql(spark, name):
     assert difference(df.collect(), result.fetchall(), df.columns, [d[0] for d in result.description]) is None
 
 
+def test_secrets_are_covered_to_their_end(spark, tmp_path):
+    lines = "\n".join("MIIEpAIBAAKCAQEA" + "aB3+/9xZ" * 6 for _ in range(30)) + "\nshortEnd=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    headed = key.replace("KEY-----\nM", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\nM", 1)
+    wide = "a1B2" * 3000
+    secret = [key, headed, key.replace("\n", "\\n"), key[: key.index("\n-----END")], f"eyJ{wide}.eyJ{wide}.{wide}",
+              f"Bearer     {wide}", "ghp_" + wide, "xoxb-" + wide, "sk_live_" + wide, f"://user:{wide}@"]
+    docs = [(i, f"before, {t}, after -- it") for i, t in enumerate(secret)]
+    docs.append((50, f"a -----BEGIN PRIVATE KEY-----, as said - in words. {key}, end"))
+    folder = write(tmp_path, docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = secrets.with_spans(spark, df).select("doc_id", secrets.redacted(secrets.F.col("text"), secrets.F.col("_spans"))).collect()
+    made = dict(map(tuple, found))
+    assert {i: made[i] for i in range(len(secret))} == {
+        i: "before, [secret], after -- it" for i, t in enumerate(secret)}
+    assert made[50] == "a [secret], as said - in words. [secret], end"
+    rows = queries.QUERIES["op3_secret_scan"](spark, folder).collect()
+    assert {r["doc_id"]: r["spans"] for r in rows} == {i: brute.listed(brute.spans(t, RULES), RULES) for i, t in docs}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    assert in_order(map(tuple, rows)) == in_order(con.execute(queries.SQL["op3_secret_scan"]).fetchall())
+
+
 def test_secrets_without_python(spark, odd):
     plan = queries.QUERIES["op3_secret_scan"](spark, odd)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
