@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+#: Folders chosen where ``spark.checkpoint.dir`` is unset, by application.
+_folders: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -39,11 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="caselight-")
-    else:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        if folder.startswith(("file:", "/")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _folders:  # the setting itself cannot be changed once a session runs
+        if spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="caselight-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if folder.startswith(("file:", "/")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _folders[application] = folder
+    return _folders[application]
