@@ -55,8 +55,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = secrets.with_spans(spark, docs.select(COLUMNS))
     changed = F.size("_spans") > 0
     text = F.when(changed, secrets.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return found.select("doc_id", text.alias("text"), "lang", "source",
-                        F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    # two steps: a higher-order function used twice in one select is evaluated wrongly the second time
+    masked = found.select("doc_id", text.alias("text"), "lang", "source", "n_chars", changed.alias("_changed"))
+    return masked.withColumn(
+        "n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_changed")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
