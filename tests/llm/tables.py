@@ -34,10 +34,12 @@ def odd_benchmark() -> list[tuple[int | None, str | None]]:
     return [(1, prose(7, 60)), (2, None), (3, ""), (4, "two words"), (5, prose(50, 40)), (6, prose(7, 60)), (None, prose(51, 30))]
 
 
-def write(folder, documents, benchmark=(), labels=(), pages=(), extra: bool = True) -> str:
+def write(folder, documents, benchmark=(), labels=(), pages=(), extra: bool = True,
+          conversations=(), embeddings=(), sources=None) -> str:
     """The tables in ``folder``; with ``extra``, columns whose names the operators use inside."""
     more = {"score": 1.0, "key": "k", "set_key": 5, "shard": "s", "_spans": "z", "piece": 1, "rank": 2, "kept": "no",
-            "trusted": "t", "label": "l", "n": 3, "host": "h", "part": "p", "_kinds": "q", "_place": 9} if extra else {}
+            "trusted": "t", "label": "l", "n": 3, "host": "h", "part": "p", "_kinds": "q", "_place": 9, "place": 3, "vector": "v", "block": 4,
+            "query": 2, "turns": "u", "path": "/", "chars": 8, "term": "w", "value": 6} if extra else {}
     sized = lambda name, data, rows: pq.write_table(pa.table(
         {**data, **{k: pa.array([v] * rows, pa.int64() if isinstance(v, int) else None) for k, v in more.items() if k not in data}}),
         f"{folder}/{name}.parquet")
@@ -45,7 +47,8 @@ def write(folder, documents, benchmark=(), labels=(), pages=(), extra: bool = Tr
     texts = [t for _, t in documents]
     sized("documents", {
         "doc_id": pa.array([i for i, _ in documents], pa.int64()), "text": pa.array(texts, pa.string()),
-        "lang": pa.array(["en"] * len(texts), pa.string()), "source": pa.array(["s"] * len(texts), pa.string()),
+        "lang": pa.array([a for a, _ in sources] if sources else ["en"] * len(texts), pa.string()),
+        "source": pa.array([b for _, b in sources] if sources else ["s"] * len(texts), pa.string()),
         "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}, len(texts))
     sized("benchmark", {"item_id": pa.array([i for i, _ in benchmark], pa.int64()),
                         "text": pa.array([t for _, t in benchmark], pa.string())}, len(benchmark))
@@ -54,4 +57,11 @@ def write(folder, documents, benchmark=(), labels=(), pages=(), extra: bool = Tr
                      "toxic": pa.array([r[2] for r in labels], pa.int32())}, len(labels))
     sized("pages", {"page_id": pa.array([r[0] for r in pages], pa.int64()), "url": pa.array([r[1] for r in pages], pa.string()),
                     "html": pa.array([r[2] for r in pages], pa.string())}, len(pages))
+    conversations, embeddings = list(conversations), list(embeddings)
+    sized("conversations", {"conv_id": pa.array([r[0] for r in conversations], pa.int64()),
+                            "turn": pa.array([r[1] for r in conversations], pa.int64()),
+                            "role": pa.array([r[2] for r in conversations], pa.string()),
+                            "text": pa.array([r[3] for r in conversations], pa.string())}, len(conversations))
+    sized("embeddings", {"vec_id": pa.array([r[0] for r in embeddings], pa.int64()),
+                         "embedding": pa.array([r[1] for r in embeddings], pa.list_(pa.float32()))}, len(embeddings))
     return str(folder)
