@@ -52,3 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _folders[application] = folder
     return _folders[application]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

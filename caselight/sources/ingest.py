@@ -1,7 +1,7 @@
 """Feed files -> typed bronze tables, with rejects, an audit trail and replace-by-file.
 
-Layout under the bronze folder: ``submissions``, ``vaccines`` and ``terms`` partitioned by
-``FILE_NAME``; append-only ``import_summary``, ``rejects`` and ``unparseable`` tables.
+Layout under the bronze folder: ``submissions``, ``vaccines`` and ``terms`` by run and ``FILE_NAME``, the manifests
+and the log of ``versions``; append-only ``import_summary``, ``rejects`` and ``unparseable`` tables.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caselight import fixed_values as fv
+from caselight.session import remove_folder
+from caselight.sources import versions
 from caselight.sources.feed import (
     NON_DOMESTIC, REJECTED, TABLE_COLUMNS, FeedError, FeedFile, header_of, list_feed,
     missing_columns, read_feed, require_distinct_names, split_missing,
@@ -104,26 +106,6 @@ def number_lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def _write(df: DataFrame, target: str, append: bool) -> None:
-    """Replace the whole table, or only the files present in ``df``.
-
-    A file that parsed to no rows has no partition in ``df``, so an append leaves its stored
-    rows alone.
-    """
-    (
-        df.write.mode("overwrite")
-        .partitionBy("FILE_NAME")
-        .option("partitionOverwriteMode", "dynamic" if append else "static")
-        .parquet(target)
-    )
-
-
-def _write_empty(spark: SparkSession, table: str, bronze: str) -> None:
-    columns = [c for c in [*TABLE_COLUMNS[table], *fv.METADATA_COLUMNS] if c != "FILE_NAME"]
-    spark.createDataFrame([], ", ".join(f"{c} {_bronze_type(c)}" for c in columns)).write.mode("overwrite").parquet(
-        f"{bronze}/{table}")
-
-
 def ingest(
     spark: SparkSession,
     source: str | Sequence[str] | Sequence[FeedFile],
@@ -131,11 +113,13 @@ def ingest(
     append: bool = False,
     prefix: str = "",
 ) -> IngestReport:
-    """Load a folder, a list of named files, or chosen ``FeedFile``s.
+    """Load a folder, a list of named files, or chosen ``FeedFile``s, and publish the result as a new version.
 
     Every readable file is loaded even when others fail; a run with failures raises at its end, and a failed
     file has a row of no imported rows in ``import_summary``. A full load (not ``append``) replaces all three
-    tables: one that no file brought anew is left empty.
+    tables: one that no file brought anew is left empty. An ``append`` replaces the files it brings; a file that
+    parsed to no rows leaves its stored rows alone. Readers see the earlier version until the last step; it stays if no
+    file could be read, or if a key (case, file, line) is repeated.
     """
     report = IngestReport()
     files = _files(spark, source, prefix, report)
@@ -144,22 +128,39 @@ def ingest(
     require_distinct_names(files)
     if not files:
         raise FeedError("no feed files to load")
+    base = versions.latest(spark, bronze)
     headers = _headers(spark, files, report)
     run = uuid.uuid4().hex
+    loads = []
     for table in TABLE_COLUMNS:
         chosen = {f: h for f, h in headers.items() if f.table == table}
         if chosen:
-            _load_table(spark, table, chosen, bronze, run, append, report)
-        elif not append:
-            _write_empty(spark, table, bronze)
+            loads.append(_load_table(spark, table, chosen, bronze, run))
+    fresh = [row for load in loads for row in load.files.collect()]  # one row a file
+    repeated = [f"{r.table_name} of {r.file_name}: {r.repeated}" for r in fresh if r.repeated]
+    if repeated:
+        _log_failed(spark, bronze, files)
+        raise FeedError(f"repeated keys (case, file, line) in {'; '.join(repeated)}")
+    if headers:
+        manifest = spark.createDataFrame([tuple(r)[:5] for r in fresh], versions.MANIFEST)
+        if append:
+            manifest = versions.merged(versions.manifest(spark, bronze, base), manifest)
+        versions.publish(spark, bronze, base, run, manifest)
+    for load in loads:
+        _report(spark, load, bronze, append, report)
+    remove_folder(spark, f"{bronze}/_stage/{run}")
     if report.failed:
-        failed = [(f.file_name, f.table) for f in files if f.name in report.failed]
-        _log(spark.createDataFrame(failed, "file_name string, table_name string").withColumns({
-            "rows_imported": F.lit(0).cast("bigint"), "rows_rejected": F.lit(0).cast("bigint")}), bronze, "import_summary")
+        _log_failed(spark, bronze, [f for f in files if f.name in report.failed])
         raise FeedError("; ".join(f"{n}: {why}" for n, why in report.failed.items()))
     return report
 
 
+def _log_failed(spark: SparkSession, bronze: str, files: Sequence[FeedFile]) -> None:
+    rows = spark.createDataFrame([(f.file_name, f.table) for f in files], "file_name string, table_name string")
+    _log(rows.withColumns({"rows_imported": F.lit(0).cast("bigint"), "rows_rejected": F.lit(0).cast("bigint")}),
+         bronze, "import_summary")
+
+
 def _headers(
     spark: SparkSession, files: list[FeedFile], report: IngestReport
 ) -> dict[FeedFile, tuple[str, ...]]:
@@ -192,22 +193,38 @@ def _files(spark, source, prefix: str, report: IngestReport) -> list[FeedFile]:
     return list_feed(spark, existing, prefix) if existing else []
 
 
+@dataclass(frozen=True)
+class TableLoad:
+    """One table of a run, written but not yet published."""
+
+    table: str
+    names: list[str]
+    staged: DataFrame
+    files: DataFrame
+
+
 def _load_table(
-    spark: SparkSession, table: str, headers: dict[FeedFile, tuple[str, ...]], bronze: str,
-    run: str, append: bool, report: IngestReport,
-) -> None:
+    spark: SparkSession, table: str, headers: dict[FeedFile, tuple[str, ...]], bronze: str, run: str,
+) -> TableLoad:
     # the CSV is parsed once; everything after reads this columnar copy
     stage = f"{bronze}/_stage/{run}/{table}"
     read_feed(spark, table, headers).write.parquet(stage)
     staged = spark.read.parquet(stage)
     accepted = staged.filter(F.col(REJECTED).isNull()).drop(REJECTED)
+    rows = number_lines(typed(accepted, table)).withColumn("run", F.lit(run))
+    rows.write.mode("append").partitionBy("run", "FILE_NAME").parquet(f"{bronze}/{table}")
+    names = sorted(f.file_name for f in headers)
+    written = [] if accepted.isEmpty() else [(table, n, run) for n in names]  # no rows, no folder
+    written = spark.createDataFrame(written, "table_name string, file_name string, run string")
+    files = versions.file_keys(versions.rows_of(spark, bronze, table, written), table, run)
+    return TableLoad(table, names, staged, files)
+
+
+def _report(spark: SparkSession, load: TableLoad, bronze: str, append: bool, report: IngestReport) -> None:
+    """Log what a published load brought, and note it in ``report``."""
+    staged, table = load.staged, load.table
+    accepted = staged.filter(F.col(REJECTED).isNull()).drop(REJECTED)
     rejects = staged.filter(F.col(REJECTED).isNotNull())
-
-    repeated = accepted.groupBy("FILE_NAME", "path", "ordinal").agg(F.count("*").alias("n")).filter("n > 1")
-    if not repeated.isEmpty():
-        raise FeedError(f"{table}: rows of one file share a line number")
-    _write(number_lines(typed(accepted, table)), f"{bronze}/{table}", append)
-
     bad = unparseable_counts(accepted, table)
     _log(bad.withColumn("table_name", F.lit(table)), bronze, "unparseable")
     _log(
@@ -219,7 +236,7 @@ def _load_table(
         ),
         bronze, "rejects",
     )
-    names = spark.createDataFrame([(f.file_name,) for f in headers], "file_name string")
+    names = spark.createDataFrame([(n,) for n in load.names], "file_name string")
     counts = staged.groupBy(F.col("FILE_NAME").alias("file_name")).agg(
         F.count_if(F.col(REJECTED).isNull()).alias("rows_imported"),
         F.count_if(F.col(REJECTED).isNotNull()).alias("rows_rejected"),
@@ -244,23 +261,12 @@ def _log(df: DataFrame, bronze: str, name: str) -> None:
     df.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(f"{bronze}/{name}")
 
 
-def bronze_table(spark: SparkSession, bronze: str, table: str) -> DataFrame:
-    columns = [*TABLE_COLUMNS[table], *fv.METADATA_COLUMNS]
-    # an explicit schema: partition values stay text, and nothing is inferred
-    schema = ", ".join(f"{c} {_bronze_type(c)}" for c in columns)
-    return spark.read.schema(schema).parquet(f"{bronze}/{table}").select(*columns)
+def bronze_table(spark: SparkSession, bronze: str, table: str, version: int | None = None) -> DataFrame:
+    """One table of the latest version, or of an earlier one by its number."""
+    files = versions.manifest(spark, bronze, versions.version_of(spark, bronze, version))
+    return versions.rows_of(spark, bronze, table, files)
 
 
-def bronze_tables(spark: SparkSession, bronze: str) -> RawTables:
+def bronze_tables(spark: SparkSession, bronze: str, version: int | None = None) -> RawTables:
     """The bronze tables as inputs of the case model."""
-    return RawTables(*[bronze_table(spark, bronze, t) for t in ("submissions", "vaccines", "terms")])
-
-
-def _bronze_type(column: str) -> str:
-    if column in fv.DATE_COLUMNS:
-        return "date"
-    if column in fv.DOUBLE_COLUMNS:
-        return "double"
-    if column in fv.INTEGER_COLUMNS + ["REPORT_ORDER", "FILE_LINE_NO"]:
-        return "int"
-    return "boolean" if column == "IS_DOMESTIC" else "string"
+    return RawTables(*[bronze_table(spark, bronze, t, version) for t in ("submissions", "vaccines", "terms")])

@@ -7,14 +7,14 @@ import uuid
 from caselight import fixed_values as fv
 from caselight.plans.mart import Mart
 from caselight.sources.feed import TABLE_COLUMNS
-from caselight.sources.ingest import _bronze_type
 from caselight.sources.star_tables import RawTables
 from caselight.sources.store import ModelStore
+from caselight.sources.versions import bronze_type
 
 
 def frame(spark, table: str, rows: list[dict]):
     columns = [*TABLE_COLUMNS[table], *fv.METADATA_COLUMNS]
-    schema = ", ".join(f"{c} {_bronze_type(c)}" for c in columns)
+    schema = ", ".join(f"{c} {bronze_type(c)}" for c in columns)
     base = {"FILE_NAME": f"2020{table.upper()}.CSV", "IS_DOMESTIC": True}
     values = [
         tuple({**base, "FILE_LINE_NO": i, **row}.get(c) for c in columns) for i, row in enumerate(rows, 1)
