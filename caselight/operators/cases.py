@@ -105,6 +105,7 @@ def case_total(mart: Mart, spec: FilterSpec, size: int = fv.PAGE_SIZE) -> DataFr
 # The three parts stay flat (one row per submission, vaccine or term), with the columns to
 # order them by: a case with very many rows never has to fit one array or one task, and a
 # dossier of all cases is not sorted as a whole. ``case_dossier`` sorts its one case.
+# They read the raw rows that a model keeps by case: the id of one case prunes the scans to one bucket.
 
 
 def _order() -> Column:
@@ -125,7 +126,7 @@ def dossier_submissions(mart: Mart, ids: Sequence[str] | DataFrame | None = None
     dates = [iso_date(F.col(d)).alias(d) for d in ("RECVDATE", "VAX_DATE", "ONSET_DATE", "DATEDIED")]
     delay = onset_delay(F.col("NUMDAYS"), F.col("VAX_DATE"), F.col("ONSET_DATE")).cast("bigint")
     return (
-        _chosen(mart.raw.submissions, ids)
+        _chosen(mart.table("raw_submissions"), ids)
         .select(
             CASE_ID, _order(), "FILE_LINE_NO", "IS_DOMESTIC", *dates, "AGE_YRS", "SEX", "STATE",
             delay.alias("NUMDAYS"), "V_ADMINBY", "V_FUNDBY", "SPLTTYPE", "DIED", "L_THREAT",
@@ -138,7 +139,7 @@ def dossier_submissions(mart: Mart, ids: Sequence[str] | DataFrame | None = None
 
 def dossier_vaccines(mart: Mart, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
     return (
-        _chosen(mart.raw.vaccines, ids)
+        _chosen(mart.table("raw_vaccines"), ids)
         .select(
             CASE_ID, _order(), "FILE_LINE_NO", "VAX_TYPE", "VAX_NAME", "VAX_MANU", "VAX_LOT",
             "VAX_DOSE_SERIES", "VAX_ROUTE", "VAX_SITE",
@@ -148,7 +149,7 @@ def dossier_vaccines(mart: Mart, ids: Sequence[str] | DataFrame | None = None) -
 
 def dossier_terms(mart: Mart, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Distinct terms of each submission."""
-    chosen = _chosen(mart.raw.terms, ids).withColumn("REPORT_ORDER", _order())
+    chosen = _chosen(mart.table("raw_terms"), ids).withColumn("REPORT_ORDER", _order())
     return term_lines(chosen, CASE_ID, "REPORT_ORDER").distinct()
 
 
@@ -164,7 +165,7 @@ def submission_entries(mart: Mart, ids: Sequence[str] | DataFrame | None = None)
     )
     terms = dossier_terms(mart, ids).select(*key, F.lit("term").alias("kind"), F.col("SYMPTOM").alias("label"))
     entries = vaccines.unionByName(terms).groupBy(*key, "kind", "label").agg(F.count("*").alias("lines"))
-    submissions = _chosen(mart.raw.submissions, ids).select(CASE_ID, _order()).distinct()
+    submissions = _chosen(mart.table("raw_submissions"), ids).select(CASE_ID, _order()).distinct()
     return entries.join(submissions, key, "left_semi")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from caselight import fixed_values as fv
 from caselight.functions.derive import flagged, sex_label
+from caselight.plans.model import posting_part
 
 if TYPE_CHECKING:
     from caselight.plans.mart import Mart
@@ -208,12 +209,13 @@ def predicates(spec: FilterSpec) -> list[Column]:
 
 
 def _members(mart: Mart, wanted: Membership) -> DataFrame:
-    """Case ids (maybe repeated) that hold the wanted term or manufacturer."""
+    """Case ids that hold the wanted term (in any spelling) or manufacturer: one folder of the postings."""
+    value = F.lit(wanted.value)
     if wanted.side == "manu":
-        return mart.reports_vax.filter(F.col("VAX_MANU") == wanted.value).select(fv.CASE_ID)
-    # the dictionary is case-sensitive: every spelling of the term counts
-    spellings = mart.symptoms.filter(F.lower("SYMPTOM") == F.lower(F.lit(wanted.value)))
-    return mart.reports_symptoms.join(spellings.select("SYMPTOM_ID"), "SYMPTOM_ID").select(fv.CASE_ID)
+        postings, label = mart.table("manu_cases"), "VAX_MANU"
+    else:
+        postings, label, value = mart.table("term_cases"), "TERM", F.lower(value)
+    return postings.filter((F.col("part") == posting_part(value)) & (F.col(label) == value)).select(fv.CASE_ID)
 
 
 def matching_cases(mart: Mart, spec: FilterSpec) -> DataFrame:

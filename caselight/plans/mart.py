@@ -19,6 +19,8 @@ from caselight.sources.store import ModelStore, bucket_count
 MODEL_TABLES = [
     "vax_details", "reports", "reports_vax", "symptoms", "reports_symptoms", "symptom_bg",
 ]
+#: What a published model holds besides: postings for filters, raw rows by case for dossiers, counts for refreshes.
+SERVED_TABLES = ["term_counts", "term_cases", "manu_cases", "raw_submissions", "raw_vaccines", "raw_terms"]
 
 
 class Mart:
@@ -60,6 +62,14 @@ class Mart:
             return model.reports_symptoms(self.raw.terms, self.symptoms, self.reports, small)
         if name == "symptom_bg":
             return model.symptom_bg(self.reports_symptoms)
+        if name == "term_counts":
+            return model.term_counts(self.raw.terms)
+        if name == "term_cases":
+            return model.term_cases(self.reports_symptoms, self.symptoms, model.dictionary_is_small(self.symptoms))
+        if name == "manu_cases":
+            return model.manu_cases(self.reports_vax)
+        if name.startswith("raw_"):
+            return getattr(self.raw, name.removeprefix("raw_"))
         raise KeyError(name)
 
     def selection(self, key: Hashable, find: Callable[[], DataFrame]) -> DataFrame:
@@ -81,6 +91,11 @@ class Mart:
         for name in MODEL_TABLES:
             self.table(name)
 
+    def build_served(self) -> None:
+        """Write what a published model holds besides the case model."""
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(self.table), SERVED_TABLES))
+
     reports = property(lambda self: self.table("reports"))
     reports_vax = property(lambda self: self.table("reports_vax"))
     vax_details = property(lambda self: self.table("vax_details"))
@@ -107,14 +122,17 @@ def build_model(
     folder: str,
     max_terms: int | None = None,
     buckets: int | None = None,
+    bronze_version: int | None = None,
 ) -> Mart:
     """Write a new version, check it, and only then publish it.
 
+    ``bronze_version`` says which version of the bronze tables ``raw`` is; ``plans.refresh`` goes on from there.
+
     ``max_terms`` stops a build with a larger vocabulary, for readers whose term ids are narrow.
     """
     if buckets is None:
         buckets = bucket_count(spark, raw.submissions, raw.vaccines, raw.terms)
-    store = ModelStore(spark, folder, uuid.uuid4().hex, buckets)
+    store = ModelStore(spark, folder, uuid.uuid4().hex, buckets, bronze=bronze_version)
     mart = Mart(raw, store)
     if max_terms is not None:
         found = mart.table("vocabulary").count()
@@ -124,6 +142,7 @@ def build_model(
     failed = failing_checks(mart)
     if failed:
         raise ModelError("; ".join(f"{check}: {n}" for check, n in failed))
+    mart.build_served()
     store.publish()
     return mart
 

@@ -103,6 +103,11 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     return term_lines(terms).distinct()
 
 
+def term_counts(terms: DataFrame) -> DataFrame:
+    """Lines of each term over every submission; what a later load adds or takes away is added or subtracted here."""
+    return term_lines(terms).groupBy("SYMPTOM").agg(F.count("*").alias("lines"))
+
+
 def symptoms(vocabulary: DataFrame) -> DataFrame:
     """Dictionary with dense ids 1..N in alphabetical (binary) order.
 
@@ -164,3 +169,26 @@ def reports_symptoms(
 
 def symptom_bg(reports_symptoms: DataFrame) -> DataFrame:
     return reports_symptoms.groupBy("SYMPTOM_ID").agg(F.count("*").alias("bg_n"))
+
+
+# --- postings: the cases of a label, filed by the label ----------------------------------------
+
+POSTING_PARTS = 64
+
+
+def posting_part(label: Column, parts: int = POSTING_PARTS) -> Column:
+    """The folder of a label's postings; of a literal it is a constant, which prunes the scan."""
+    return F.pmod(F.xxhash64(label), F.lit(parts)).cast("int")
+
+
+def term_cases(reports_symptoms: DataFrame, symptoms: DataFrame, small_dictionary: bool) -> DataFrame:
+    """Distinct (lower-cased term, case): every spelling of a term files under one label."""
+    spelled = symptoms.select("SYMPTOM_ID", F.lower("SYMPTOM").alias("TERM"))
+    pairs = reports_symptoms.join(F.broadcast(spelled) if small_dictionary else spelled, "SYMPTOM_ID")
+    return pairs.select("TERM", CASE_ID).distinct().withColumn("part", posting_part(F.col("TERM")))
+
+
+def manu_cases(reports_vax: DataFrame) -> DataFrame:
+    """Distinct (manufacturer, case) of typed vaccines."""
+    named = reports_vax.filter(F.col("VAX_MANU").isNotNull()).select("VAX_MANU", CASE_ID).distinct()
+    return named.withColumn("part", posting_part(F.col("VAX_MANU")))

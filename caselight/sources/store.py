@@ -3,15 +3,22 @@
 A version is a folder. Readers only ever see versions listed in the ``published`` log, which
 is appended to after the checks passed, so a failed build leaves the served model alone.
 Tables of a version live in the shared folder and survive the loss of executors.
+
+A version made by a refresh holds only the buckets that changed; its other buckets are read from the folders of the
+versions before (``Part``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from collections.abc import Collection
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight import fixed_values as fv
@@ -26,6 +33,7 @@ class Layout:
 
     bucketed: bool = True
     sort_by: tuple[str, ...] = ()
+    postings: bool = False  # a folder for each value of ``part``, so that one label reads one folder
 
 
 LAYOUTS = {
@@ -36,18 +44,47 @@ LAYOUTS = {
     "symptoms": Layout(bucketed=False),
     "reports_symptoms": Layout(sort_by=("SYMPTOM_ID",)),
     "symptom_bg": Layout(bucketed=False),
+    "term_counts": Layout(bucketed=False),
+    "term_cases": Layout(bucketed=False, postings=True),
+    "manu_cases": Layout(bucketed=False, postings=True),
+    "raw_submissions": Layout(sort_by=(CASE_ID,)),
+    "raw_vaccines": Layout(sort_by=(CASE_ID,)),
+    "raw_terms": Layout(sort_by=(CASE_ID,)),
 }
 
 
 SELECTION = Layout()
 
 
+@dataclass(frozen=True)
+class Part:
+    """What one version's folder gives to a table: all its buckets but those that a later part replaces."""
+
+    version: str
+    without: frozenset[int] = frozenset()
+
+
+def bucket_of(case_id: Column, buckets: int) -> Column:
+    """The bucket in which Spark files a case."""
+    return F.pmod(F.hash(case_id), F.lit(buckets))
+
+
+def file_bucket() -> Column:
+    """The bucket of the file that a row of a bucketed table lies in; as a predicate it skips whole files."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)(?:\.c\d+)?\.", 1).cast("int")
+
+
 class ModelStore:
-    def __init__(self, spark: SparkSession, folder: str, version: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, version: str, buckets: int | None = None,
+                 parts: dict[str, tuple[Part, ...]] | None = None, bronze: int | None = None):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.version = version
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: Tables that earlier versions hold a part of; the others lie in this version's folder alone.
+        self.parts = parts or {}
+        #: Number of the bronze version that the model was built from.
+        self.bronze = bronze
 
     def path(self, table: str) -> str:
         return f"{self.folder}/version={self.version}/{table}"
@@ -58,10 +95,17 @@ class ModelStore:
         return f"caselight_{token}_{table}"
 
     def save(self, table: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` to this version's folder and read it back."""
         layout = LAYOUTS.get(table, SELECTION)
+        if layout.postings:
+            # skewed parts are split by the rebalancing; sorted rows keep a label in few row groups
+            label = df.columns[0]
+            df.hint("rebalance", "part").sortWithinPartitions("part", label, CASE_ID).write.mode("overwrite").partitionBy(
+                "part").parquet(self.path(table))
+            return self._piece(table, Part(self.version))
         if not layout.bucketed:
             df.write.mode("overwrite").parquet(self.path(table))
-            return self.load(table)
+            return self._piece(table, Part(self.version))
         writer = (
             df.repartition(self.buckets, CASE_ID)
             .write.mode("overwrite")
@@ -72,15 +116,39 @@ class ModelStore:
         if layout.sort_by:
             writer = writer.sortBy(*layout.sort_by)
         writer.saveAsTable(self._catalog_name(table))
-        return self.load(table)
+        return self._piece(table, Part(self.version))
+
+    def load(self, table: str, buckets: Collection[int] | None = None) -> DataFrame:
+        """The written table, with its bucketing; of bucketed tables, only some ``buckets`` if they are named."""
+        parts = self.parts.get(table, (Part(self.version),))
+        return reduce(DataFrame.unionByName, [self._piece(table, part, buckets) for part in parts])
 
-    def load(self, table: str) -> DataFrame:
-        """The written table, with its bucketing."""
+    def _piece(self, table: str, part: Part, buckets: Collection[int] | None = None) -> DataFrame:
+        where = self if part.version == self.version else ModelStore(self.spark, self.folder, part.version, self.buckets)
         if not LAYOUTS.get(table, SELECTION).bucketed:
-            return self.spark.read.parquet(self.path(table))
-        if not self.spark.catalog.tableExists(self._catalog_name(table)):
-            self._attach(table)
-        return self.spark.table(self._catalog_name(table))
+            df = self.spark.read.parquet(where.path(table))
+        else:
+            if not self.spark.catalog.tableExists(where._catalog_name(table)):
+                where._attach(table)
+            df = self.spark.table(where._catalog_name(table))
+            if buckets is not None:
+                df = df.filter(file_bucket().isin(sorted(set(buckets) - part.without)))
+        if part.without and buckets is None:
+            # by row, not by file: a predicate on the file's name would hide the bucketing of a union of parts
+            df = df.filter(~bucket_of(F.col(CASE_ID), self.buckets).isin(sorted(part.without)))
+        return df
+
+    def bytes_of(self, table: str, buckets: Collection[int] | None = None) -> int:
+        """Size of a table's files, or of those of some buckets."""
+        total = 0
+        for part in self.parts.get(table, (Part(self.version),)):
+            folder = f"{self.folder}/version={part.version}/{table}"
+            for name, size in files_of(self.spark, folder):
+                found = re.search(r"_(\d+)(?:\.c\d+)?\.", name)
+                bucket = int(found[1]) if found and LAYOUTS[table].bucketed else None
+                if bucket not in part.without and (buckets is None or bucket is None or bucket in buckets):
+                    total += size
+        return total
 
     def _attach(self, table: str) -> None:
         """Tell this session's catalog about bucketed files another session wrote."""
@@ -96,18 +164,36 @@ class ModelStore:
     def publish(self) -> None:
         self.spark.range(1).select(
             F.lit(self.version).alias("version"), F.lit(self.buckets).alias("buckets"),
-            F.current_timestamp().alias("published_at"),
+            F.current_timestamp().alias("published_at"), F.lit(self.bronze).cast("bigint").alias("bronze"),
+            F.lit(json.dumps({t: [[p.version, sorted(p.without)] for p in ps] for t, ps in self.parts.items()})).alias("parts"),
         ).write.mode("append").parquet(f"{self.folder}/published")
 
     @classmethod
     def published(cls, spark: SparkSession, folder: str) -> "ModelStore | None":
         """The latest published version of ``folder``, if any."""
         try:
-            log = spark.read.parquet(f"{folder.rstrip('/')}/published")
+            log = spark.read.schema(
+                "version string, buckets int, published_at timestamp, bronze bigint, parts string"
+            ).parquet(f"{folder.rstrip('/')}/published")
         except AnalysisException:
             return None
         latest = log.orderBy(F.desc("published_at")).first()
-        return cls(spark, folder, latest.version, latest.buckets)
+        parts = {t: tuple(Part(v, frozenset(without)) for v, without in ps)
+                 for t, ps in json.loads(latest.parts or "{}").items()}
+        return cls(spark, folder, latest.version, latest.buckets, parts, latest.bronze)
+
+
+def files_of(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(name, bytes) of all data files below a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            found.append((name, status.getLen()))
+    return found
 
 
 #: Buckets that Spark takes at most unless ``spark.sql.sources.bucketing.maxBuckets`` says otherwise.
