@@ -38,12 +38,28 @@ class PageSort:
             return PageSort(field, not self.descending)
         return PageSort(field, True)
 
+    @property
+    def key(self) -> Column:
+        return F.col(CASE_ID).try_cast("bigint") if self.field == CASE_ID else F.col(self.field)
+
     def columns(self) -> list[Column]:
         number = F.col(CASE_ID).try_cast("bigint")
-        key = number if self.field == CASE_ID else F.col(self.field)
-        primary = key.desc_nulls_last() if self.descending else key.asc_nulls_last()
+        primary = self.key.desc_nulls_last() if self.descending else self.key.asc_nulls_last()
         return [primary] if self.field == CASE_ID else [primary, number.desc()]
 
+    def total(self) -> list[Column]:
+        """``columns`` made a total order: ids that read as the same number, or as none, go by their text."""
+        return [*self.columns(), F.col(CASE_ID).asc()]
+
+
+@dataclass(frozen=True)
+class PageMark:
+    """The last row of a page: its sort value, its id as a number (None: no number) and as text."""
+
+    value: object
+    number: int | None
+    case_id: str
+
 
 def _whole_number(value: object, default: int) -> int:
     try:
@@ -82,9 +98,13 @@ def case_page(
     that hold them, so only those narratives are read.
     """
     ids = [row[0] for row in page_keys(mart, spec, limit, offset, sort).collect()]
+    return _page_rows(mart, ids, sort.columns())
+
+
+def _page_rows(mart: Mart, ids: list[str], order: list[Column]) -> DataFrame:
     return (
         mart.reports.filter(F.col(CASE_ID).isin(ids))
-        .orderBy(*sort.columns())
+        .orderBy(*order)
         .select(
             CASE_ID,
             iso_date(F.col("VAX_DATE")).alias("VAX_DATE"),
@@ -94,6 +114,59 @@ def case_page(
     )
 
 
+def _beyond(column: Column, value: object, descending: bool, later: Column) -> Column:
+    """Rows after ``value`` in the order of ``column`` (nulls last), or level with it and ``later``."""
+    if value is None:
+        return column.isNull() & later
+    literal = F.lit(value)
+    past = column < literal if descending else column > literal
+    # of a null the comparison is null, and nulls come last
+    return F.coalesce(past | ((column == literal) & later), F.lit(True))
+
+
+def after_mark(sort: PageSort, mark: PageMark) -> Column:
+    """Rows that follow the marked row in the total order of ``sort``."""
+    later = F.col(CASE_ID) > mark.case_id
+    if sort.field != CASE_ID:
+        later = _beyond(F.col(CASE_ID).try_cast("bigint"), mark.number, True, later)
+    found = _beyond(sort.key, mark.value, sort.descending, later)
+    if sort.field != CASE_ID and mark.value is not None:
+        # implied, and free of casts: this much reaches the scan and skips row groups
+        level = sort.key <= F.lit(mark.value) if sort.descending else sort.key >= F.lit(mark.value)
+        found = found & (level | sort.key.isNull())
+    return found
+
+
+def page_mark(mart: Mart, case_id: str, sort: PageSort = PageSort()) -> PageMark:
+    """The place of a case in the order of ``sort``; its id prunes the scan to one bucket."""
+    row = mart.reports.filter(F.col(CASE_ID) == case_id).select(
+        sort.key.alias("value"), F.col(CASE_ID).try_cast("bigint").alias("number")).first()
+    if row is None:
+        raise ValueError(f"no case {case_id}")
+    return PageMark(row.value, row.number, case_id)
+
+
+def keys_after(
+    mart: Mart, spec: FilterSpec, mark: PageMark | None, limit: object = None, sort: PageSort = PageSort()
+) -> DataFrame:
+    """Ids of the page that follows a mark (None: the first page), in order. However deep the page, a task keeps
+    only as many rows as the page has."""
+    rows, _ = page_limits(limit)
+    chosen = selected_cases(mart, spec)
+    if mark is not None:
+        chosen = chosen.filter(after_mark(sort, mark))
+    return chosen.orderBy(*sort.total()).limit(rows).select(CASE_ID)
+
+
+def page_after(
+    mart: Mart, spec: FilterSpec, last_id: str | None = None, limit: object = None, sort: PageSort = PageSort()
+) -> DataFrame:
+    """The page after the one that ended with case ``last_id``; the first page without one."""
+    mark = None if last_id is None else page_mark(mart, last_id, sort)
+    ids = [row[0] for row in keys_after(mart, spec, mark, limit, sort).collect()]
+    return _page_rows(mart, ids, sort.total())
+
+
 def case_total(mart: Mart, spec: FilterSpec, size: int = fv.PAGE_SIZE) -> DataFrame:
     """Matching cases and the number of pages they fill."""
     return selected_cases(mart, spec).agg(F.count("*").alias("total")).select(

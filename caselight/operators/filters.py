@@ -9,8 +9,10 @@ from __future__ import annotations
 import datetime as dt
 import math
 import operator
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from itertools import zip_longest
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -190,6 +192,37 @@ def query_predicate(query: str) -> Column | None:
     return F.call_function("ilike", F.col("SYMPTOM_TEXT"), F.lit(f"%{query}%"), F.lit(escape))
 
 
+#: Trigrams of a search that are looked up, the first of each literal part first.
+MOST_GRAMS = 64
+
+
+def search_grams(query: str) -> list[str]:
+    """Trigrams that a narrative must hold to match, from the literal parts between wildcards of the lower-cased text."""
+    parts = [[p[i : i + 3] for i in range(len(p) - 2)] for p in re.split("[%_]", query)]
+    in_turn = [g for row in zip_longest(*parts) for g in row if g is not None]
+    return list(dict.fromkeys(in_turn))[:MOST_GRAMS]
+
+
+def buckets_to_search(mart: Mart, query: str) -> list[int] | None:
+    """Buckets that hold every trigram of a narrative search; None: the search needs all of them.
+
+    Fewer grams than all only leave more buckets to verify.
+    """
+    if query_predicate(query) is None or (query.isascii() and query.isdigit()) or not mart.holds("narrative_grams"):
+        return None
+    # lower-cased by the engine that lower-cased the narratives
+    lowered = mart.spark.sql("SELECT lower(:query)", {"query": query}).first()[0]
+    grams = search_grams(lowered)
+    if not grams:
+        return None
+    postings = mart.table("narrative_grams")
+    folders = F.array_distinct(F.array(*[posting_part(F.lit(g)) for g in grams]))
+    folders = mart.spark.range(1).select(folders.alias("parts")).first().parts
+    held = postings.filter(F.col("part").isin(folders) & F.col("GRAM").isin(grams)).groupBy("BUCKET").agg(
+        F.count_distinct("GRAM").alias("n")).filter(F.col("n") == len(grams))
+    return sorted(r.BUCKET for r in held.collect())  # a number for each bucket at most
+
+
 def predicates(spec: FilterSpec) -> list[Column]:
     """The conditions on columns of ``reports`` itself."""
     found: list[Column] = []
@@ -220,7 +253,8 @@ def _members(mart: Mart, wanted: Membership) -> DataFrame:
 
 def matching_cases(mart: Mart, spec: FilterSpec) -> DataFrame:
     """The rows of ``reports`` a spec selects (all conditions hold)."""
-    cases = mart.reports
+    buckets = buckets_to_search(mart, spec.query)
+    cases = mart.reports if buckets is None else mart.reports_in(buckets)
     for predicate in predicates(spec):
         cases = cases.filter(predicate)
     for wanted in map(condition, spec.adhoc):

@@ -255,8 +255,10 @@ def symptoms_panel(mart: Mart, spec: FilterSpec, cases: DataFrame) -> DataFrame:
     return significant_terms(mart, cases, spec.rate)
 
 
-def panel(mart: Mart, spec: FilterSpec, key: str) -> DataFrame:
-    """One panel as a DataFrame."""
+def panel(mart: Mart, spec: FilterSpec, key: str, limit: int | None = None) -> DataFrame:
+    """One panel as a DataFrame; of a long one only the first ``limit`` rows in its order, if asked for."""
+    if limit is not None:
+        return panel(mart, spec, key).limit(max(int(limit), 0))
     requested_panels([key])
     cases = selected_cases(mart, spec)
     if key == "symptoms":
@@ -360,3 +362,18 @@ def named_view(mart: Mart, spec: FilterSpec, name: str) -> DataFrame:
     """A named panel set (its deferred panels included) on its own date axis."""
     first, deferred, axis = fv.VIEWS[name]
     return view(mart, replace(spec, date_field=axis), [*first, *deferred])
+
+
+#: Panels whose rows are no parts of a whole.
+WITHOUT_SHARES = ["total", "no_vaxdate_pct"]
+
+
+def with_shares(shown: DataFrame) -> DataFrame:
+    """Rows of a view with the ``total`` of their panel's counts and their ``share`` of it, 0 where nothing is counted.
+
+    The total is that of the rows shown, as slices of a pie; a panel shows a bounded number of rows.
+    """
+    of_panel = Window.partitionBy("panel")
+    rows = shown.filter(~F.col("panel").isin(WITHOUT_SHARES)).withColumn("total", F.sum("count").over(of_panel))
+    share = F.when(F.col("total") > 0, F.col("count") / F.col("total")).otherwise(F.lit(0.0))
+    return rows.select("panel", "pos", "label", "count", "total", share.alias("share"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Collection, Hashable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -20,7 +20,7 @@ MODEL_TABLES = [
     "vax_details", "reports", "reports_vax", "symptoms", "reports_symptoms", "symptom_bg",
 ]
 #: What a published model holds besides: postings for filters, raw rows by case for dossiers, counts for refreshes.
-SERVED_TABLES = ["term_counts", "term_cases", "manu_cases", "raw_submissions", "raw_vaccines", "raw_terms"]
+SERVED_TABLES = ["term_counts", "term_cases", "manu_cases", "narrative_grams", "raw_submissions", "raw_vaccines", "raw_terms"]
 
 
 class Mart:
@@ -68,10 +68,21 @@ class Mart:
             return model.term_cases(self.reports_symptoms, self.symptoms, model.dictionary_is_small(self.symptoms))
         if name == "manu_cases":
             return model.manu_cases(self.reports_vax)
+        if name == "narrative_grams":
+            return model.narrative_grams(self.reports, self.store.buckets)
         if name.startswith("raw_"):
             return getattr(self.raw, name.removeprefix("raw_"))
         raise KeyError(name)
 
+    def holds(self, name: str) -> bool:
+        """Whether a table is written already; an index that is not is no use to a single search."""
+        return self._readonly or name in self._tables
+
+    def reports_in(self, buckets: Collection[int]) -> DataFrame:
+        """The cases of some buckets; files of the others are not read."""
+        self.table("reports")
+        return self.store.load("reports", buckets)
+
     def selection(self, key: Hashable, find: Callable[[], DataFrame]) -> DataFrame:
         """Cases found by a costly search, written once per key and read back from then on."""
         if key not in self._selections:

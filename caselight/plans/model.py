@@ -17,7 +17,8 @@ from caselight.functions.text import trim_spaces
 
 CASE_ID = fv.CASE_ID
 COMBO_SEPARATOR = "::"
-RANGE_CUTS = 255
+RANGE_TERMS = 4096
+MOST_CUTS = 10_000
 DICTIONARY_SALTS = 16
 DICTIONARY_BROADCAST_BYTES = 64 << 20
 
@@ -108,24 +109,30 @@ def term_counts(terms: DataFrame) -> DataFrame:
     return term_lines(terms).groupBy("SYMPTOM").agg(F.count("*").alias("lines"))
 
 
-def symptoms(vocabulary: DataFrame) -> DataFrame:
+def symptoms(vocabulary: DataFrame, cuts: int | None = None) -> DataFrame:
     """Dictionary with dense ids 1..N in alphabetical (binary) order.
 
     The order is cut into ranges at a content-chosen sample of terms (those with the lowest
-    hashes), numbered range by range and shifted by the sizes of the ranges before. Equal
-    input gives equal ids, and no task sorts the whole vocabulary.
+    hashes), one for about ``RANGE_TERMS`` terms; a term finds its range by halving. Ranges are
+    numbered one by one and shifted by the sizes of those before. Equal input gives equal ids
+    whatever the number of cuts, and no task sorts the whole vocabulary.
     """
-    cuts = (
+    if cuts is None:
+        cuts = min(MOST_CUTS, vocabulary.count() // RANGE_TERMS + 1)
+    chosen = (
         vocabulary.orderBy(F.xxhash64("SYMPTOM"), "SYMPTOM")
-        .limit(RANGE_CUTS)
+        .limit(cuts)
         .agg(F.array_sort(F.collect_list("SYMPTOM")))
         .scalar()
     )
-    located = vocabulary.withColumn("cuts", cuts).select(
-        "SYMPTOM",
-        F.size(F.filter("cuts", lambda cut: cut <= F.col("SYMPTOM"))).alias("part"),
-    )
-    # at most RANGE_CUTS + 1 rows, so the running total may sit in one task
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(cuts.bit_length()))])
+
+    def halve(passed: Column, step: Column) -> Column:
+        # beyond the last cut there is none to compare with
+        return F.when(F.get("cuts", passed + step - 1) <= F.col("SYMPTOM"), passed + step).otherwise(passed)
+
+    located = vocabulary.withColumn("cuts", chosen).select("SYMPTOM", F.aggregate(steps, F.lit(0), halve).alias("part"))
+    # at most MOST_CUTS + 1 rows, so the running total may sit in one task
     before = located.groupBy("part").agg(F.count("*").alias("n")).select(
         "part",
         (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("terms_before"),
@@ -192,3 +199,12 @@ def manu_cases(reports_vax: DataFrame) -> DataFrame:
     """Distinct (manufacturer, case) of typed vaccines."""
     named = reports_vax.filter(F.col("VAX_MANU").isNotNull()).select("VAX_MANU", CASE_ID).distinct()
     return named.withColumn("part", posting_part(F.col("VAX_MANU")))
+
+
+def narrative_grams(reports: DataFrame, buckets: int) -> DataFrame:
+    """Distinct (three characters of a lower-cased narrative, bucket of the case)."""
+    text = F.lower("SYMPTOM_TEXT")
+    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))
+    found = reports.filter(F.length("SYMPTOM_TEXT") > 2).select(
+        F.pmod(F.hash(CASE_ID), F.lit(buckets)).alias("BUCKET"), F.explode(grams).alias("GRAM"))
+    return found.select("GRAM", "BUCKET").distinct().withColumn("part", posting_part(F.col("GRAM")))

@@ -28,7 +28,8 @@ from caselight.sources.store import LAYOUTS, ModelStore, Part, bucket_of
 MOST_TOUCHED = 0.5
 MOST_PARTS = 8
 
-BY_CASE = ["raw_submissions", "raw_vaccines", "raw_terms", "vax_details", "reports", "reports_vax", "term_cases", "manu_cases"]
+BY_CASE = ["raw_submissions", "raw_vaccines", "raw_terms", "vax_details", "reports", "reports_vax", "term_cases", "manu_cases",
+           "narrative_grams"]
 
 
 @dataclass(frozen=True)

@@ -47,6 +47,7 @@ LAYOUTS = {
     "term_counts": Layout(bucketed=False),
     "term_cases": Layout(bucketed=False, postings=True),
     "manu_cases": Layout(bucketed=False, postings=True),
+    "narrative_grams": Layout(bucketed=False, postings=True),
     "raw_submissions": Layout(sort_by=(CASE_ID,)),
     "raw_vaccines": Layout(sort_by=(CASE_ID,)),
     "raw_terms": Layout(sort_by=(CASE_ID,)),
@@ -99,8 +100,8 @@ class ModelStore:
         layout = LAYOUTS.get(table, SELECTION)
         if layout.postings:
             # skewed parts are split by the rebalancing; sorted rows keep a label in few row groups
-            label = df.columns[0]
-            df.hint("rebalance", "part").sortWithinPartitions("part", label, CASE_ID).write.mode("overwrite").partitionBy(
+            label, held = df.columns[:2]
+            df.hint("rebalance", "part").sortWithinPartitions("part", label, held).write.mode("overwrite").partitionBy(
                 "part").parquet(self.path(table))
             return self._piece(table, Part(self.version))
         if not layout.bucketed:
@@ -135,7 +136,8 @@ class ModelStore:
                 df = df.filter(file_bucket().isin(sorted(set(buckets) - part.without)))
         if part.without and buckets is None:
             # by row, not by file: a predicate on the file's name would hide the bucketing of a union of parts
-            df = df.filter(~bucket_of(F.col(CASE_ID), self.buckets).isin(sorted(part.without)))
+            bucket = F.col("BUCKET") if "BUCKET" in df.columns else bucket_of(F.col(CASE_ID), self.buckets)
+            df = df.filter(~bucket.isin(sorted(part.without)))
         return df
 
     def bytes_of(self, table: str, buckets: Collection[int] | None = None) -> int:

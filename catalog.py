@@ -19,7 +19,7 @@ from caselight.operators.filters import FilterSpec, matching_cases, predicates
 from caselight.plans import checks, model
 from caselight.plans.mart import Mart, session_mart
 from caselight.session import shared_folder
-from caselight.sources import feed
+from caselight.sources import feed, versions
 from caselight.sources.ingest import bronze_table, ingest
 from caselight.sources.star_tables import raw_tables
 
@@ -292,6 +292,25 @@ for _name, (_first, _deferred, _axis) in fv.VIEWS.items():
             oracle.view([*_first, *_deferred], SELECTION_SQL.replace("VAX_DATE", _axis), 40))
 
 
+def shares(name: str, request: dict, where: str, rate: int = 100) -> None:
+    keys = ["sex", "age", "states", "vax_types", "total", "no_vaxdate_pct"]
+    shown = oracle.view(keys, where, rate)
+    on_mart(name,
+            lambda mart: panels.with_shares(panels.view(mart, FilterSpec.from_request(request), keys)).withColumn(
+                "share", F.round("share", 9)),
+            f"""SELECT panel, pos, label, count, CAST(sum(count) OVER (PARTITION BY panel) AS BIGINT) AS total,
+              round(CASE WHEN sum(count) OVER (PARTITION BY panel) > 0
+                    THEN count / sum(count) OVER (PARTITION BY panel) ELSE 0 END, 9) AS share
+              FROM ({shown}) WHERE panel NOT IN ('total', 'no_vaxdate_pct')""")
+
+
+shares("shares_of_all", {}, "TRUE")
+shares("shares_filtered", SELECTION, SELECTION_SQL, 40)
+shares("shares_of_nothing", {"date_from": "2190-01-01"}, "VAX_DATE >= DATE '2190-01-01'")
+on_mart("panel_first_ten_rows", lambda mart: panels.panel(mart, NO_FILTER, "states", 10),
+        oracle.sql("SELECT STATE AS state, count(*) AS count FROM reports WHERE STATE <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+
+
 # --- drill-down: what each slice's click selects must equal the slice -----------------------
 
 
@@ -324,8 +343,8 @@ def slices(key: str, labels: list) -> str:
 for _key, _labels in {
     "age": list(fv.AGE_BUCKETS), "age_u20": list(fv.SINGLE_YEARS), "sex": ["F", "M", "U"],
     "reactions": list(fv.REACTIONS), "has_data": fv.HISTORY_FIELDS,
-    "v_adminby": ["1-URGENT", "5-LOW"],
-    "v_fundby": ["BUILDING", "MACHINERY"],
+    "v_adminby": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "v_fundby": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
 }.items():
     on_mart(f"drill_{_key}", lambda mart, k=_key, ls=_labels: drilled(mart, k, ls), slices(_key, _labels))
 on_mart("drill_manufacturers", lambda mart: drilled_members(mart, "manufacturers", ["Brand#1", "Brand#9"]),
@@ -363,11 +382,52 @@ page("by_id", {}, "TRUE", "CAST(CASE_ID AS BIGINT) ASC", 999, 1, "case_id", "asc
 page("unknown_sort_resets", {}, "TRUE", f"VAX_DATE DESC NULLS LAST, {_TIE}", None, None, "STATE", "asc")
 page("with_narrative", {"query": "eau"}, "SYMPTOM_TEXT ILIKE '%eau%'", f"NUM_VAX DESC NULLS LAST, {_TIE}",
      500, 0, "NUM_VAX", "DESC")
+
+
+def page_following(sort: cases.PageSort, order: str) -> None:
+    """The third page of 40, reached from page to page by the last row shown."""
+    spec = FilterSpec.from_request(SELECTION)
+
+    def third(mart: Mart) -> DataFrame:
+        last = None
+        for _ in range(2):
+            last = cases.keys_after(mart, spec, last and cases.page_mark(mart, last, sort), 40, sort).collect()[-1][0]
+        return cases.page_after(mart, spec, last, 40, sort)
+
+    name = f"cases_after_{sort.field.lower()}_{'down' if sort.descending else 'up'}"
+    on_mart(name, third, oracle.sql(f"{_PAGE} {order}, {_TIE} LIMIT 40 OFFSET 80", oracle.filtered(SELECTION_SQL)))
+
+
+for _field in fv.SORT_FIELDS:
+    for _down in (True, False):
+        _by = "CAST(CASE_ID AS BIGINT)" if _field == fv.CASE_ID else _field
+        page_following(cases.PageSort(_field, _down), f"{_by} {'DESC' if _down else 'ASC'} NULLS LAST")
+
 on_mart("panel_states_by_narrative", lambda mart: panels.panel(mart, FilterSpec.from_request({"query": "eau"}), "states"),
         oracle.panel("states", "SYMPTOM_TEXT ILIKE '%eau%'"))
 on_mart("view_overview_by_narrative",
         lambda mart: rounded(panels.named_view(mart, FilterSpec.from_request({"query": "eau"}), "overview")),
         oracle.view(fv.VIEWS["overview"][0], "SYMPTOM_TEXT ILIKE '%eau%'"))
+
+
+def searched(name: str, query: str, where: str) -> None:
+    """A narrative search through the trigram index."""
+    def ask(mart: Mart) -> DataFrame:
+        mart.table("narrative_grams")
+        return matching_cases(mart, FilterSpec(query=query)).select(fv.CASE_ID, "STATE")
+
+    on_mart(f"search_{name}", ask, oracle.sql(f"SELECT CASE_ID, STATE FROM reports WHERE {where}"))
+
+
+searched("word", "eau", "SYMPTOM_TEXT ILIKE '%eau%'")
+searched("any_case", "SCHEN", "SYMPTOM_TEXT ILIKE '%schen%'")
+searched("non_ascii", "ÉAU", "SYMPTOM_TEXT ILIKE '%éau%'")
+searched("parts", "ung%schen", "SYMPTOM_TEXT ILIKE '%ung%schen%'")
+searched("one_unknown_character", "sch_n", "SYMPTOM_TEXT ILIKE '%sch_n%'")
+searched("backslash", "n\\e", "contains(SYMPTOM_TEXT, 'n' || chr(92) || 'e')")
+searched("too_short_for_the_index", "q_", "SYMPTOM_TEXT ILIKE '%q_%'")
+searched("nothing", "zzqqxxjj", "SYMPTOM_TEXT ILIKE '%zzqqxxjj%'")
+
 on_mart("cases_total", lambda mart: cases.case_total(mart, FilterSpec.from_request(SELECTION)),
         oracle.sql("SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) AS pages FROM f",
                    oracle.filtered(SELECTION_SQL)))
@@ -543,6 +603,51 @@ for _table, _columns in feed.TABLE_COLUMNS.items():
     on_bronze(f"ingest_{_table}", _bronze(_table), _loaded(_table, _columns))
     on_bronze(f"ingest_{_table}_in_blocks", _bronze(_table), _loaded(_table, _columns), block_bytes=1 << 16)
 on_bronze("ingest_replace_by_file", _bronze("submissions"), _loaded("submissions", fv.SUBMISSION_COLUMNS), twice=True)
+
+
+def _after_a_failed_run(spark: SparkSession, bronze: str) -> DataFrame:
+    """The submissions after a run that wrote all its rows and then found repeated keys."""
+    base = versions.latest(spark, bronze)
+    rows = bronze_table(spark, bronze, "submissions")
+    again = rows.unionByName(rows.where("FILE_NAME >= '2000'")).withColumn("run", F.lit(f"failed-{uuid.uuid4().hex}"))
+    again.write.mode("append").partitionBy("run", "FILE_NAME").parquet(f"{bronze}/submissions")
+    if versions.latest(spark, bronze) != base:
+        raise RuntimeError("rows that no run published are read")
+    return bronze_table(spark, bronze, "submissions").drop("FILE_LINE_NO")
+
+
+on_bronze("ingest_after_failed_run", _after_a_failed_run, _loaded("submissions", fv.SUBMISSION_COLUMNS))
+on_bronze("ingest_old_version", lambda spark, bronze: bronze_table(spark, bronze, "submissions", 1).drop("FILE_LINE_NO"),
+          _loaded("submissions", fv.SUBMISSION_COLUMNS), twice=True)
+on_bronze(
+    "ingest_manifest",
+    lambda spark, bronze: versions.manifest(spark, bronze, versions.latest(spark, bronze)).select(
+        "table_name", "file_name", "rows"),
+    oracle.raw_sql(" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, FILE_NAME AS file_name, count(*) AS rows FROM {t} GROUP BY 2" for t in feed.TABLE_COLUMNS)),
+    twice=True)
+on_bronze(
+    "ingest_altered_files",
+    lambda spark, bronze: versions.altered_files(spark, bronze, versions.latest(spark, bronze)),
+    "SELECT 'x' AS table_name, 'x' AS file_name, CAST(0 AS BIGINT) AS rows_told, CAST(0 AS BIGINT) AS rows_found WHERE 1 = 0",
+    twice=True)
+on_bronze(
+    "ingest_key_gate_passes",
+    lambda spark, bronze: versions.file_keys(bronze_table(spark, bronze, "submissions"), "submissions", "r").select(
+        "file_name", "rows", "repeated"),
+    oracle.raw_sql("SELECT FILE_NAME AS file_name, count(*) AS rows, CAST(0 AS BIGINT) AS repeated FROM submissions GROUP BY 1"))
+
+
+def _with_repeats(spark: SparkSession, bronze: str) -> DataFrame:
+    rows = bronze_table(spark, bronze, "submissions")
+    again = rows.where(F.regexp_extract(fv.CASE_ID, r"(\d+)$", 1).cast("bigint") % 97 == 0)
+    return versions.file_keys(rows.unionByName(again), "submissions", "r").select("file_name", "rows", "repeated")
+
+
+on_bronze(
+    "ingest_key_gate_fails", _with_repeats,
+    oracle.raw_sql(f"""SELECT FILE_NAME AS file_name, count(*) + count_if({_KEY_NUMBER} % 97 = 0) AS rows,
+      count_if({_KEY_NUMBER} % 97 = 0) AS repeated FROM submissions GROUP BY 1"""))
 on_bronze(
     "ingest_line_numbers",
     lambda spark, bronze: bronze_table(spark, bronze, "submissions").groupBy("FILE_NAME").agg(
