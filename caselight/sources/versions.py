@@ -7,6 +7,7 @@ that dies at any point before leaves the earlier version as it was, also where i
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -93,6 +94,26 @@ def publish(spark: SparkSession, bronze: str, base: Version | None, run: str, fi
     return mine
 
 
+def add_tables(spark: SparkSession, bronze: str, tables: dict[str, DataFrame], append: bool = True) -> Version:
+    """Publish rows that are typed already (bronze columns, by table) as files of a new version."""
+    base = latest(spark, bronze)
+    run = uuid.uuid4().hex
+    fresh = []
+    for table, rows in tables.items():
+        columns = [*TABLE_COLUMNS[table], *fv.METADATA_COLUMNS]
+        rows.select(*columns).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run", "FILE_NAME").parquet(
+            f"{bronze}/{table}")
+        written = spark.read.schema(
+            f"{', '.join(f'{c} {bronze_type(c)}' for c in columns)}, run string"
+        ).option("basePath", f"{bronze}/{table}").parquet(f"{bronze}/{table}/run={run}")
+        fresh += file_keys(written, table, run).collect()  # one row a file
+    repeated = [f"{r.table_name} of {r.file_name}: {r.repeated}" for r in fresh if r.repeated]
+    if repeated:
+        raise FeedError(f"repeated keys (case, file, line) in {'; '.join(repeated)}")
+    files = spark.createDataFrame([tuple(r)[:5] for r in fresh], MANIFEST)
+    return publish(spark, bronze, base, run, merged(manifest(spark, bronze, base), files) if append else files)
+
+
 def changed_files(spark: SparkSession, bronze: str, old: Version | None, new: Version) -> tuple[DataFrame, DataFrame]:
     """Manifest rows of the files that only ``old`` holds that way, and of those that only ``new`` does."""
     before, after = manifest(spark, bronze, old), manifest(spark, bronze, new)

@@ -16,7 +16,7 @@ from caselight.functions.derive import is_primary, onset_delay, outcome_labels
 from caselight.functions.text import clean_null
 from caselight.operators import cases, drilldown, panels, profile, signals
 from caselight.operators.filters import FilterSpec, matching_cases, predicates
-from caselight.plans import checks, model
+from caselight.plans import checks, model, refresh
 from caselight.plans.mart import Mart, session_mart
 from caselight.session import shared_folder
 from caselight.sources import feed, versions
@@ -667,3 +667,48 @@ on_bronze(
     lambda spark, bronze: spark.read.parquet(f"{bronze}/unparseable").drop("logged_at"),
     oracle.raw_sql(f"""SELECT FILE_NAME, 'RECVDATE' AS "column", count(*) AS bad, 'submissions' AS table_name
       FROM submissions WHERE {_KEY_NUMBER} % 77 = 0 GROUP BY 1"""))
+
+
+# --- refresh: a model of most cases, then brought up to a version that holds all ---------------
+# One file of the first version holds cases that are gone in the second, which brings others instead.
+
+_refreshed: dict[tuple[str, str], Mart] = {}
+_GONE = "GONE"
+
+
+def _refreshed_mart(spark: SparkSession, folder: str) -> Mart:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _refreshed:
+        raw = raw_tables(spark, folder)
+        target = f"{shared_folder(spark)}/caselight/{key[0]}/refresh-{uuid.uuid4().hex}"
+        rest = F.regexp_extract(fv.CASE_ID, r"(\d+)$", 1).cast("bigint") % 4001
+        line = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**31 - 1)).cast("int")
+        tables = {t: getattr(raw, t).withColumn("FILE_LINE_NO", line) for t in feed.TABLE_COLUMNS}
+        others = {t: df.where(~rest.isin(1, 2)) for t, df in tables.items()}
+        moved = lambda df: df.withColumn("FILE_NAME", F.lit("1990MOVED.CSV"))
+        gone = {t: moved(df.where(rest == 3)).withColumn(fv.CASE_ID, F.concat(F.lit(_GONE), fv.CASE_ID)) for t, df in tables.items()}
+        gone["terms"] = gone["terms"].withColumn("SYMPTOM1", F.lit(" a term of gone cases "))
+        versions.add_tables(spark, target, {t: df.unionByName(gone[t]) for t, df in others.items()})
+        refresh.build_from_bronze(spark, target, f"{target}/model", 64)
+        versions.add_tables(spark, target, {t: moved(df.where(rest.isin(1, 2))) for t, df in tables.items()})
+        _refreshed[key] = refresh.refresh_model(spark, target, f"{target}/model").mart
+    return _refreshed[key]
+
+
+def on_refreshed(name: str, ask: Callable[[Mart], DataFrame], sql: str) -> None:
+    CATALOG[f"refresh_{name}"] = Entry(lambda spark, folder: ask(_refreshed_mart(spark, folder)), sql)
+
+
+on_refreshed("reports", lambda mart: joined(mart.reports, "VAX_TYPES", "HAS_DATA"), CATALOG["model_reports"].sql)
+for _name in ("reports_vax", "symptoms", "reports_symptoms", "symptom_bg", "vax_details"):
+    on_refreshed(_name, lambda mart, n=_name: mart.table(n), CATALOG[f"model_{_name}"].sql)
+on_refreshed("checks", checks.model_checks, CATALOG["check_model"].sql)
+on_refreshed("dossier_vaccines", lambda mart: cases.dossier_vaccines(mart).drop("FILE_LINE_NO"),
+             oracle.raw_sql("""SELECT CASE_ID, CAST(coalesce(REPORT_ORDER, 1) AS BIGINT) AS REPORT_ORDER, VAX_TYPE, VAX_NAME,
+               VAX_MANU, VAX_LOT, VAX_DOSE_SERIES, VAX_ROUTE, VAX_SITE FROM vaccines"""))
+on_refreshed("term_cases", lambda mart: matching_cases(mart, FilterSpec.from_request(
+    {"adhoc": [{"field": "SYMPTOMS", "op": "=", "value": "medium"}]})).select(fv.CASE_ID),
+    oracle.sql("""SELECT CASE_ID FROM reports WHERE CASE_ID IN (SELECT CASE_ID FROM reports_symptoms JOIN symptoms
+      USING (SYMPTOM_ID) WHERE lower(SYMPTOM) = 'medium')"""))
+on_refreshed("search", lambda mart: matching_cases(mart, FilterSpec(query="schen")).select(fv.CASE_ID),
+             oracle.sql("SELECT CASE_ID FROM reports WHERE SYMPTOM_TEXT ILIKE '%schen%'"))
