@@ -29,10 +29,6 @@ _PIECE = ("piece long, part int, nth long, class int, doc_id {kind}, start long,
           "doc_tokens long, ids binary")
 
 
-def crc_of(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
 def pieces_of(docs: DataFrame, path: str) -> DataFrame:
     """Full windows and the rest of each document: ids of windows are only summed up, those of rests kept."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -40,19 +36,22 @@ def pieces_of(docs: DataFrame, path: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         coder = WordIds(path)
-        seen = np.zeros(WINDOW // UNIT + 1, np.int64)
+        seen = [0] * (WINDOW // UNIT + 1)
         number = 0
 
         def rows(keys: list, texts: list[str]) -> pa.RecordBatch:
             nonlocal number
             out: list[tuple] = []
             for key, ids in zip(keys, coder.of(texts)):
-                ids = np.append(ids, ids.dtype.type(END_ID))
-                for start in range(0, len(ids), WINDOW):
-                    piece = ids[start : start + WINDOW]
+                whole = np.empty(len(ids) + 1, "<u4")
+                whole[:-1] = ids
+                whole[-1] = END_ID
+                for start in range(0, len(whole), WINDOW):
+                    piece = whole[start : start + WINDOW]
                     c = len(piece) // UNIT
-                    out.append(((part << 36) + number, part, int(seen[c]), c, key, start, len(piece), crc_of(piece),
-                                len(ids), None if len(piece) == WINDOW else piece.astype("<u4").tobytes()))
+                    raw = piece.tobytes()
+                    out.append(((part << 36) + number, part, seen[c], c, key, start, len(piece), zlib.crc32(raw),
+                                len(whole), None if len(piece) == WINDOW else raw))
                     seen[c] += 1
                     number += 1
             names = ["piece", "part", "nth", "class", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
