@@ -99,12 +99,18 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)
 
 
+#: What ``classes`` needs of a row besides its set: its own doc_id, which may be null, and a hash of its text.
+CARRIED = ("named", "text_hash")
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, set_key, n_shingles, last, prefix) of every row; no words: null key, empty prefix.
+    """(doc_id, place, set_key, n_shingles, last, prefix) of every row, and ``CARRIED`` columns that ``docs`` has; no words:
+    null key, empty prefix.
 
     ``last`` is the largest hash of the prefix, as a signed number of the same order; ``place`` names the row.
     """
-    kind = dict(docs.dtypes)["doc_id"]
+    kinds = dict(docs.dtypes)
+    carried = [c for c in CARRIED if c in kinds]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 36
@@ -121,11 +127,13 @@ def described(docs: DataFrame) -> DataFrame:
             place += len(keys)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(keys, pa.int64()),
-                 pa.array(sizes, pa.int64()), pa.array(lasts, pa.int64()), list_array(prefixes)],
-                ["doc_id", "place", "set_key", "n_shingles", "last", "prefix"])
+                 pa.array(sizes, pa.int64()), pa.array(lasts, pa.int64()), list_array(prefixes),
+                 *(batch.column(c) for c in carried)],
+                ["doc_id", "place", "set_key", "n_shingles", "last", "prefix", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        describe, f"doc_id {kind}, place long, set_key long, n_shingles long, last long, prefix array<long>")
+    more = "".join(f", {c} {kinds[c]}" for c in carried)
+    return docs.select("doc_id", "text", *carried).mapInArrow(
+        describe, f"doc_id {kinds['doc_id']}, place long, set_key long, n_shingles long, last long, prefix array<long>{more}")
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -406,35 +414,41 @@ def linked_in_blocks(spark: SparkSession, large: DataFrame, texts: DataFrame) ->
 
 
 def classes(spark: SparkSession, docs: DataFrame, rare: int = RARE, held: int = HELD_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_key) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, set_key, text_hash, class_key) for every row of ``docs`` (doc_id, text).
 
-    Equal sets are one node from the start; their rows are summed map-side, so copies cost nothing later.
+    Equal sets are one node from the start; their rows are summed map-side, so copies cost nothing later. Rows without
+    doc_id link others like any row; a hash of their text stands for the id where texts are looked up.
     """
+    kind = dict(docs.dtypes)["doc_id"]
+    text_hash = F.xxhash64("text")
+    docs = docs.select(F.coalesce(F.col("doc_id"), text_hash.cast(kind)).alias("doc_id"), "text",
+                       F.col("doc_id").alias("named"), text_hash.alias("text_hash"))
     rows = settled(spark, described(docs), "sets")
-    names = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "place")).alias("first"))
-    names = settled(spark, names.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.place").alias("place")),
+    docs = docs.select("doc_id", "text")
+    names = rows.where("set_key is not null").groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "place")).alias("first"), F.min("named").alias("least"))
+    names = settled(spark, names.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.place").alias("place"), "least"),
                     "distinct-sets")
     sets = rows.join(small_side(names.select("place", "rep")), "place").select(
         "set_key", "rep", F.col("n_shingles").alias("n"), "last", "prefix")
     index, lists = index_of(spark, docs, sets, rare, held)
-    names = names.drop("place")
-    labels = linked(spark, docs, names, index, lists)
+    labels = linked(spark, docs, names.select("set_key", "rep"), index, lists)
     joined = names.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "set_key", "rep", F.coalesce("label", "set_key").alias("label"))
+        "set_key", "least", F.coalesce("label", "set_key").alias("label"))
     joined = settled(spark, joined, "labelled")
-    least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = settled(spark, joined.join(least, "label").select("set_key", "component_id"), "components")
-    return rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key")
+    least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = settled(spark, joined.join(least, "label").select(
+        "set_key", "component_id", F.col("label").alias("class_key")), "components")
+    return rows.select(F.col("named").alias("doc_id"), "n_shingles", "set_key", "text_hash").join(named, "set_key", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key", "text_hash", "class_key")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document under links of five-word shingle sets.
 
     Null and empty texts have no shingles and stand alone; texts of fewer than five words are one shingle;
-    rows without doc_id get the class of an equal set, else null; repeated rows each give a row; an empty
-    table gives no rows; other columns are ignored.
+    rows without doc_id link others too and get the class's smallest doc_id, null if it has none; repeated rows each give
+    a row; an empty table gives no rows; other columns are ignored.
     """
     docs = documents_of(spark, sf_dir).select("doc_id", "text")
-    return classes(spark, docs).drop("set_key")
+    return classes(spark, docs).drop("set_key", "text_hash", "class_key")

@@ -25,7 +25,7 @@ def shingles(text, k=5):
 
 
 def classes(docs):
-    """Per row: (doc_id, shingles, component). Rows without doc_id take the class of an equal set."""
+    """Per row: (doc_id, shingles, component), null where a class has no doc_id."""
     sets = [frozenset(shingles(t)) for _, t in docs]
     distinct = list({s for s in sets if s})
     at = {s: i for i, s in enumerate(distinct)}
@@ -33,7 +33,6 @@ def classes(docs):
     for i, s in enumerate(distinct):
         for x in s:
             holders[x].append(i)
-    named = {at[s] for (d, _), s in zip(docs, sets) if s and d is not None}
     parent = list(range(len(distinct)))
 
     def root(i):
@@ -44,7 +43,7 @@ def classes(docs):
     for i, s in enumerate(distinct):
         for j in {j for x in s for j in holders[x] if j < i}:
             both = len(s & distinct[j])
-            if i in named and j in named and 100 * both >= 75 * (len(s) + len(distinct[j]) - both):
+            if 100 * both >= 75 * (len(s) + len(distinct[j]) - both):
                 parent[root(i)] = root(j)
     least = {}
     for (d, _), s in zip(docs, sets):

@@ -24,12 +24,42 @@ def test_stages_are_in_order():
 
 
 def test_duplicates_leave_one_of_each_class(spark, odd):
-    kept = stage(spark, odd, "ngram_jaccard_join")
-    classes = brute.classes([(i, t) for i, t in odd_documents() if i is not None and i != 17])
-    wanted = {d for d, _, c in classes if d == c}
-    got = [r["doc_id"] for r in kept if r["doc_id"] is not None and r["doc_id"] != 17]
-    assert sorted(got) == sorted(wanted)
-    assert sum(r["doc_id"] == 17 for r in kept) == 2  # two different texts of one doc_id, repeats gone
+    """Null and repeated ids included: a class is told by its smallest doc_id, one without by a text of its own."""
+    kept = [(r["doc_id"], r["text"]) for r in stage(spark, odd, "ngram_jaccard_join")]
+    docs = odd_documents()
+    assert sorted(kept, key=repr) == sorted(set(kept), key=repr) and set(kept) <= set(docs)
+    component = {(d, t): c for (d, t), c in zip(sorted(docs, key=repr), _components(sorted(docs, key=repr)))}
+    told = lambda rows: sorted((repr(component[r]) for r in rows if brute.shingles(r[1])))
+    assert told(kept) == sorted(map(repr, set(component[r] for r in docs if brute.shingles(r[1]))))
+    for doc_id, text in kept:
+        least = component[doc_id, text]
+        assert not brute.shingles(text) or least[0] is None or least[0] == doc_id
+    assert [r for r in kept if not brute.shingles(r[1])] and (None, prose(6, 80)) in kept
+    assert sum(t == docs[5][1] for _, t in kept) == 1  # the copy without doc_id goes
+
+
+def _components(docs):
+    """(smallest doc_id or None, smallest text) of the class of each row, by plain search."""
+    sets = [brute.shingles(t) for _, t in docs]
+    label = list(range(len(docs)))
+    for _ in docs:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    members = {k: [d for d, n in zip(docs, label) if n == k] for k in label}
+    return [(min((d for d, _ in members[k] if d is not None), default=None), min(t or "" for _, t in members[k])) for k in label]
+
+
+def test_a_text_without_id_links_others(spark, tmp_path):
+    words = prose(9, 60).split()
+    texts = [" ".join([*words[:k], *(f"other{k}x{i}" for i in range(2)), *words[k + 2 :]]) for k in (10, 30, 50)]
+    mixed = " ".join([*words[:30], "other30x0", "other30x1", *words[32:]])
+    docs = [(1, " ".join(words)), (None, mixed), (3, mixed + " " + prose(10, 12)), (None, texts[0]), (None, texts[0])]
+    folder = write(tmp_path, docs)
+    assert [r["doc_id"] for r in stage(spark, folder, "ngram_jaccard_join")] == [1]
+    alone = write(tmp_path / "alone" if (tmp_path / "alone").mkdir() is None else tmp_path, docs[3:])
+    assert [r["doc_id"] for r in stage(spark, alone, "ngram_jaccard_join")] == [None]
 
 
 def test_decontamination_drops_what_holds_an_item(spark, odd):
