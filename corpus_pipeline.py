@@ -1,7 +1,7 @@
 """A pipeline over ``documents``: each stage works on all that the stage before it kept.
 
-Rows with nulls pass through every stage by the rules of its operator; repeated rows count as copies, of which
-the class keeps one; an empty table stays empty; columns beyond those of ``documents`` are dropped at the start.
+Rows with nulls pass through every stage by the rules of its operator, rows without doc_id too; repeated rows count as
+copies, of which the class keeps one; an empty table stays empty; columns beyond those of ``documents`` are dropped at the start.
 """
 
 from __future__ import annotations
@@ -24,21 +24,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one whose doc_id names the class.
+    """One row of each class of near duplicates: one of the doc_id that names the class.
 
-    Documents without words stand alone. Of rows that repeat a doc_id, one stays if their texts are of one
-    class; rows without doc_id stay if no other row has their shingles.
+    Of several texts of that doc_id in the class the one with the least hash stays, of repeated rows one. A class
+    without any doc_id keeps one row too. Documents without words stand alone and all stay.
     """
-    found = settled(spark, ngram_join.classes(spark, docs.select("doc_id", "text")), "classes")
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.select(COLUMNS).join(small_side(settled(spark, gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    repeated = settled(spark, repeated.select("doc_id"), "repeated")
+    found = settled(spark, ngram_join.classes(spark, docs.select("doc_id", "text")), "classes").where("set_key is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    chosen = settled(spark, found.groupBy("class_key").agg(F.min(row).alias("chosen"), F.count(F.lit(1)).alias("_n")).where("_n > 1"),
+                     "chosen")
+    in_class = found.join(small_side(chosen), "class_key")
+    others = ~(F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_hash") == F.col("chosen.text_hash")))
+    gone = in_class.where(others).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash"))
+    kept = docs.select(COLUMNS).join(small_side(settled(spark, gone, "gone")), same, "left_anti")
+    repeated = found.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(
+        F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = settled(spark, repeated.drop("_n"), "repeated")
     if repeated.isEmpty():
         return kept
     again = small_side(repeated)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
