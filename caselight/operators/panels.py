@@ -287,6 +287,10 @@ def run_panels(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = Non
 # --- whole views --------------------------------------------------------------
 
 
+#: Slices of a panel's labels that are ranked side by side before the panel is.
+RANKING_SLICES = 16
+
+
 def _ranked(counts: DataFrame, tops: dict[str, int], rate: object) -> DataFrame:
     """Top labels of every panel at once. The window limit is applied map-side first, so a
     panel with millions of labels sends a few rows per task to the final ranking."""
@@ -303,6 +307,25 @@ def _ranked(counts: DataFrame, tops: dict[str, int], rate: object) -> DataFrame:
     )
 
 
+def _with_tops(counts: DataFrame, keys: Sequence[str], tops: dict[str, int], rate: object) -> DataFrame:
+    """Panels with and without a limit from one count. A panel with a limit is cut to its top labels slice by slice,
+    so that no task ranks all of its labels; the rows that are left are few in every panel."""
+    slices = Window.partitionBy("panel", F.pmod(F.xxhash64("label"), F.lit(RANKING_SLICES)))
+    order = [F.desc("n"), F.asc_nulls_first("pos"), F.asc("label")]
+    limit = F.lit(None)
+    for key, top in tops.items():
+        limit = F.when(F.col("panel") == key, F.lit(top)).otherwise(limit)
+    within = counts.withColumn("limit", limit).withColumn("rank", F.row_number().over(slices.orderBy(*order)))
+    within = within.filter(F.col("limit").isNull() | (F.col("rank") <= F.col("limit")))
+    by_count = [*tops, *(k for k in keys if CASE_PANELS[k].by_count)]
+    rank = F.row_number().over(Window.partitionBy("panel").orderBy(*order))
+    rows = within.withColumn("rank", rank).filter(F.col("limit").isNull() | (F.col("rank") <= F.col("limit")))
+    rows = rows.withColumn("pos", F.when(F.col("panel").isin(by_count), F.col("rank")).otherwise(F.col("pos")))
+    rows = rows.withColumn("count", derive.scaled(F.col("n"), rate))
+    dropping = [k for k in keys if CASE_PANELS[k].drop_zero]
+    return rows.filter(~F.col("panel").isin(dropping) | (F.col("count") > 0)) if dropping else rows
+
+
 VIEW_COLUMNS = ["panel", "pos", "label", "count", "bg_n", "score"]
 
 
@@ -337,9 +360,12 @@ def view(mart: Mart, spec: FilterSpec, keys: Sequence[object] | None = None) ->
     plain = ["panel", "CAST(pos AS INT) AS pos", "label", "count"]
     unscored = ["CAST(NULL AS BIGINT) AS bg_n", "CAST(NULL AS DOUBLE) AS score"]
     parts = []
-    if complete:
+    if complete and ranked:
+        counts = count_cases(cases, [*complete, *ranked])
+        parts.append(_with_tops(counts, complete, ranked, spec.rate).selectExpr(*plain, *unscored))
+    elif complete:
         parts.append(_in_place(count_cases(cases, complete), complete, spec.rate).selectExpr(*plain, *unscored))
-    if ranked:
+    elif ranked:
         parts.append(_ranked(count_cases(cases, list(ranked)), ranked, spec.rate).selectExpr(*plain, *unscored))
     if vaccine:
         counts = count_vaccine_cases(mart, cases, list(vaccine))

@@ -100,3 +100,9 @@ def test_significant_terms_shuffle_counts_only(mart):
     finally:
         mart.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(CASE_ID" not in text
+
+
+def test_a_view_scans_the_cases_once_for_all_case_panels(mart):
+    keys = [k for k in panels.PANEL_KEYS if k in panels.CASE_PANELS]
+    text = plan(panels.view(mart, FilterSpec.from_request({"date_from": "1996-01-01"}), keys))
+    assert text.count("FileScan parquet") == 1
