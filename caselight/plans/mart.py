@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Collection, Hashable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import fields
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ class Mart:
         self.store = store
         self.spark = store.spark
         self._readonly = readonly
+        self._by_case = False
         self._tables: dict[str, DataFrame] = {}
         self._selections: dict[Hashable, DataFrame] = {}
 
@@ -43,12 +45,12 @@ class Mart:
             if self._readonly:
                 self._tables[name] = self.store.load(name)
             else:
-                self._tables[name] = self.store.save(name, self._define(name))
+                self._tables[name] = self.store.save(name, self._define(name), self._by_case and not name.startswith("raw_"))
         return self._tables[name]
 
     def _define(self, name: str) -> DataFrame:
         if name == "reports":
-            return model.reports(self.raw.submissions, self.vax_details, self.store.buckets)
+            return model.reports(self.raw.submissions, self.vax_details, None if self._by_case else self.store.buckets)
         if name == "reports_vax":
             return model.reports_vax(self.vax_details)
         if name == "vax_details":
@@ -56,7 +58,7 @@ class Mart:
         if name == "vocabulary":
             return model.vocabulary(self.raw.terms)
         if name == "symptoms":
-            return model.symptoms(self.table("vocabulary"))
+            return model.symptoms(self.table("term_counts").select("SYMPTOM"))
         if name == "reports_symptoms":
             small = model.dictionary_is_small(self.symptoms)
             return model.reports_symptoms(self.raw.terms, self.symptoms, self.reports, small)
@@ -102,6 +104,14 @@ class Mart:
         for name in MODEL_TABLES:
             self.table(name)
 
+    def file_by_case(self) -> None:
+        """Write the raw rows by case bucket and go on from there: what follows needs no exchange by case."""
+        names = [f.name for f in fields(RawTables)]
+        with ThreadPoolExecutor(len(names)) as pool:
+            filed = list(pool.map(inheritable_thread_target(self.spark)(self.table), [f"raw_{n}" for n in names]))
+        self.raw = RawTables(*filed)
+        self._by_case = True
+
     def build_served(self) -> None:
         """Write what a published model holds besides the case model."""
         with ThreadPoolExecutor(2) as pool:
@@ -145,8 +155,9 @@ def build_model(
         buckets = bucket_count(spark, raw.submissions, raw.vaccines, raw.terms)
     store = ModelStore(spark, folder, uuid.uuid4().hex, buckets, bronze=bronze_version)
     mart = Mart(raw, store)
+    mart.file_by_case()
     if max_terms is not None:
-        found = mart.table("vocabulary").count()
+        found = mart.table("term_counts").count()
         if found > max_terms:
             raise ModelError(f"vocabulary of {found} terms exceeds {max_terms}")
     mart.build_all()

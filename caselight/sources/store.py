@@ -95,8 +95,8 @@ class ModelStore:
         token = hashlib.sha256(f"{self.folder} {self.version}".encode()).hexdigest()[:16]
         return f"caselight_{token}_{table}"
 
-    def save(self, table: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` to this version's folder and read it back."""
+    def save(self, table: str, df: DataFrame, in_place: bool = False) -> DataFrame:
+        """Write ``df`` to this version's folder and read it back; ``in_place`` says that its rows come by case bucket."""
         layout = LAYOUTS.get(table, SELECTION)
         if layout.postings:
             # skewed parts are split by the rebalancing; sorted rows keep a label in few row groups
@@ -108,7 +108,7 @@ class ModelStore:
             df.write.mode("overwrite").parquet(self.path(table))
             return self._piece(table, Part(self.version))
         writer = (
-            df.repartition(self.buckets, CASE_ID)
+            (df if in_place else df.repartition(self.buckets, CASE_ID))
             .write.mode("overwrite")
             .format("parquet")
             .option("path", self.path(table))

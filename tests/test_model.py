@@ -10,7 +10,7 @@ def violations(df):
 
 
 def test_dense_ids_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(model, "RANGE_CUTS", 5)
+    monkeypatch.setattr(model, "RANGE_TERMS", 48)
     words = sorted({f"{a}{b}" for a in "aAzé €" for b in range(40)}, key=lambda w: w.encode())
     df = spark.createDataFrame([(w,) for w in reversed(words)], "SYMPTOM string")
     found = [(r.SYMPTOM_ID, r.SYMPTOM) for r in model.symptoms(df).orderBy("SYMPTOM_ID").collect()]
