@@ -114,9 +114,9 @@ def features(text: str | None, known: WordFlags) -> list[float]:
         after, before = you[np.minimum(at, len(you) - 1)], you[np.maximum(at - 1, 0)]
         near = float(1 / (1 + np.minimum(abs(after - bad), abs(bad - before)).min()))
     size = len(text)
-    letters = sum(map(str.isalpha, text)) if size < 2000 else size
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     kinds = np.bincount(raw, minlength=256)
+    letters = int(kinds[65:91].sum() + kinds[97:123].sum() + kinds[192:].sum())  # each character beyond ASCII counts as one
     capitals, digits = int(kinds[65:91].sum()), int(kinds[48:58].sum())
     marks = int(kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum())
     rate = 100.0 / n
