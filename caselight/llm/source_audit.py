@@ -27,10 +27,10 @@ TOP_TERMS = 50
 #: Terms a task holds before it writes its counts out.
 HELD_TERMS = 300_000
 
-#: Entries of one dense matrix of sources and terms.
-CELLS = 1 << 20
+#: Entries of one dense matrix of sources and terms, as long as it has ``LEFT`` terms.
+CELLS = 1 << 16
 
-#: Sources on the left side of one comparison.
+#: Sources on the left side of one comparison, and least terms of a block: what a block sends is no more than it reads.
 LEFT = 256
 
 COUNTS = "lang string, source string, term string, docs long, n long"
@@ -111,7 +111,7 @@ def divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST_DOCUMENT
     (each other source of the language, all ranks) or ``term`` (what the source uses more than its language, ranks
     to ``top``). Texts without terms count as documents of their source; an empty table gives no rows; other columns
     are ignored. Each task sends a term once for each source, so frequent terms and hot sources are small after the
-    first exchange. Sources of a language are compared over blocks of terms: a block holds at most ``CELLS`` values.
+    first exchange. Sources of a language are compared over blocks of terms: a block holds about ``CELLS`` values, and ``LEFT`` terms at least.
     """
     blank = F.lit("")
     docs = docs.select(F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source"),
@@ -143,7 +143,7 @@ def divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST_DOCUMENT
 
     # blocks of terms, and for each block all sources of the language
     sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"), F.max("terms").alias("terms"))
-    width = F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("sources")))
+    width = F.greatest(F.lit(LEFT), F.floor(F.lit(CELLS) / F.col("sources")))
     sizes = sizes.select("lang", F.ceil(F.greatest(F.col("terms"), F.lit(1)) / width).cast("int").alias("blocks"),
                          F.ceil(F.col("sources") / LEFT).cast("int").alias("chunks"))
     sizes = settled(spark, sizes, "blocks")
