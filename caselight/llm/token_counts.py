@@ -1,25 +1,30 @@
-"""Operator 6: token counts from the pieces of each distinct pre-token."""
+"""Operator 6: token counts from the pieces of each distinct pre-token of the corpus."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caselight.llm.shared import documents_of
+from caselight.llm.shared import documents_of, settled
 
-#: Distinct pre-tokens whose counts a Python worker remembers between batches.
-REMEMBERED = 1_000_000
 #: Tokens a context window holds.
 LIMIT = 4096
-#: Texts of a batch are counted together up to this many characters.
+#: Texts of a batch are split together up to this many characters.
 TOGETHER = 4_000_000
+#: Pre-tokens, the most frequent ones, whose counts are broadcast; the others are joined by shuffle.
+HELD = 200_000
+#: Bytes of a pre-token that is its own join key; a digest stands for a longer one.
+KEY_BYTES = 64
 
 _MARK = "\x1f"
-_known: dict[str, dict[str, int]] = {}
+_SPACE = "▁"
+_PRETOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*")
 _models: dict[str, object] = {}
 
 
@@ -32,81 +37,127 @@ def _model(path: str):
 
 
 def pretoken_pieces(path: str, pretokens: list[str]) -> np.ndarray:
-    """Pieces of each distinct pre-token: a space or line break and what follows up to the next one.
+    """Pieces of each pre-token.
 
-    The model marks a space as a piece start and no piece goes on past one; line breaks are byte pieces.
-    So pieces never cross a pre-token's border. The library puts a space before any text, which stands
-    for the pre-token's own space, and is taken off again before a line break.
+    The library puts a space before any text: it stands for the first of the pre-token's own spaces, and
+    before a line break it is a piece of its own, which is not counted.
     """
-    known = _known.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = [p for p in pretokens if p not in known]
-    model = _model(path)
-    for p, ids in zip(new, model.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1), strict=True):
-        # a lone space is a piece, though the library adds none to an empty text
-        known[p] = (len(ids) or 1) if p[0] == " " else len(ids) - 1
-    return np.fromiter((known[p] for p in pretokens), np.int64, len(pretokens))
+    ids = _model(path).encode([p[1:] if p[0] == " " else p for p in pretokens], num_threads=1)
+    # a lone space is a piece, though the library adds none to an empty text
+    return np.fromiter(((len(i) or 1) if p[0] == " " else len(i) - 1 for p, i in zip(pretokens, ids, strict=True)),
+                       np.int64, len(pretokens))
 
 
-def token_counts(path: str, texts: list[str]) -> list[int]:
-    """Tokens of each text as the library counts them.
+def frequencies(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(index of the text, pre-token, how often it holds it), once for each text and distinct pre-token.
 
-    Texts where spaces follow each other, or that hold the model's own space mark, go to the library whole.
-    """
-    whole = [i for i, t in enumerate(texts) if "  " in t or t[:1] == " " or "▁" in t or _MARK in t]
-    counts = np.zeros(len(texts), np.int64)
-    for i in whole:
-        counts[i] = len(_model(path).encode(texts[i]))
-    skip = set(whole)
-    rest = [i for i, t in enumerate(texts) if t and i not in skip]
-    if rest:
-        joined = pa.array([" " + texts[i] for i in rest], pa.large_string())
-        for c in " \n":
-            joined = pc.replace_substring(joined, c, _MARK + c)
-        lists = pc.split_pattern(joined, _MARK)
-        coded = lists.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        # each text begins with an empty part before its first mark
-        pieces = np.zeros(len(words), np.int64)
-        full = [i for i, w in enumerate(words) if w]
-        pieces[full] = pretoken_pieces(path, [words[i] for i in full])
-        per_word = pieces[coded.indices.to_numpy()]
-        counts[rest] = np.add.reduceat(per_word, lists.offsets.to_numpy()[:-1])
-    return counts.tolist()
-
-
-def counted(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` for each row of ``docs`` (doc_id, text).
-
-    Frequencies of pre-tokens meet their piece counts within a task: a batch's distinct pre-tokens are
-    counted once and looked up for its documents, and a worker keeps the counts for later batches. Only
-    counts leave Python, and nothing is shuffled.
+    A pre-token is a run of spaces, or a line break, with what follows up to the next space or line break.
+    The model's pieces hold spaces at their beginning only and no line breaks, so none crosses a border.
+    The model reads its own space mark as a space, and a text as if a space stood before it.
     """
+    odd = [i for i, t in enumerate(texts) if "  " in t or t[:1] == " " or _SPACE in t or _MARK in t]
+    skip = set(odd)
+    plain = [i for i, t in enumerate(texts) if t and i not in skip]
+    marked = pa.array([" " + texts[i] for i in plain], pa.large_string())
+    for c in " \n":
+        marked = pc.replace_substring(marked, c, _MARK + c)
+    lists = pc.split_pattern(marked, _MARK)
+    offsets = lists.offsets.to_numpy()
+    # each text begins with an empty part before its first mark
+    full = np.ones(len(lists.values), bool)
+    full[offsets[:-1]] = False
+    owners = np.repeat(np.array(plain, np.int64), np.diff(offsets))[full]
+    words = lists.values.filter(pa.array(full))
+    if odd:
+        split = [_PRETOKEN.findall((" " + texts[i]).replace(_SPACE, " ")) for i in odd]
+        owners = np.concatenate([owners, np.repeat(np.array(odd, np.int64), [len(s) for s in split])])
+        words = pa.concat_arrays([words, pa.array([w for s in split for w in s], pa.large_string())])
+    coded = words.dictionary_encode()
+    each = max(1, len(coded.dictionary))
+    held, n = np.unique(owners * each + coded.indices.to_numpy(), return_counts=True)
+    return held // each, coded.dictionary.take(pa.array(held % each)), n
+
+
+def pretokens_of(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n_bytes, word, n) for each row of ``docs`` (doc_id, text) and distinct pre-token; a null word
+    and 0 for a text without any. ``row`` tells rows apart as long as this is written once."""
     kind = dict(docs.dtypes)["doc_id"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens: list[int] = []
-            some: list[str] = []
-            size = 0
-            for t in texts:
-                some.append(t)
-                size += len(t)
-                if size > TOGETHER:
-                    tokens += token_counts(path, some)
-                    some, size = [], 0
-            tokens += token_counts(path, some)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts],
-                "n_tokens": tokens,
-                "over_limit": [n > limit for n in tokens],
-            })
-
-    return docs.select("doc_id", "text").mapInArrow(
-        count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+            ends = np.cumsum([len(t) for t in texts])
+            parts = np.flatnonzero(np.diff(ends // TOGETHER)) + 1 if texts else []
+            for a, b in zip([0, *parts], [*parts, len(texts)]):
+                some = texts[a:b]
+                owner, words, n = frequencies(some)
+                none = np.setdiff1d(np.arange(len(some)), owner)
+                at = pa.array(np.concatenate([owner, none]) + a)
+                sizes = pa.array([len(t.encode()) for t in some], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").take(at), batch.column("doc_id").take(at),
+                     sizes.take(pc.subtract(at, int(a))),
+                     pa.concat_arrays([words.cast(pa.string()), pa.nulls(len(none), pa.string())]),
+                     pa.array(np.concatenate([n, np.zeros(len(none), np.int64)]))],
+                    ["row", "doc_id", "n_bytes", "word", "n"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(split, f"row long, doc_id {kind}, n_bytes long, word string, n long")
+
+
+def word_key() -> Column:
+    """A pre-token's join key of bounded size; none holds two line breaks, so digests clash with no short one."""
+    return F.when(F.octet_length("word") <= KEY_BYTES, F.col("word")).otherwise(
+        F.concat(F.lit("\n\n"), F.sha2(F.encode("word", "utf-8"), 256)))
+
+
+def dictionary_of(held: DataFrame, path: str) -> DataFrame:
+    """(key, df, pieces): each distinct pre-token, in how many rows it is, and its pieces, counted once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = pretoken_pieces(path, batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("df"), pa.array(pieces)], ["word", "df", "pieces"])
+
+    distinct = held.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return distinct.mapInArrow(count, "word string, df long, pieces long").select(word_key().alias("key"), "df", "pieces")
+
+
+def frequent(dictionary: DataFrame, most: int = HELD) -> Column:
+    """Condition for the most frequent pre-tokens, in steps of powers of two, ``most`` of them at most."""
+    digits = F.length(F.bin("df"))
+    left, least = most, 65
+    for r in dictionary.groupBy(digits.alias("digits")).count().orderBy(F.desc("digits")).collect():  # 64 rows at most
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["digits"]
+    return digits >= least
+
+
+def counted(spark: SparkSession, docs: DataFrame, path: str, limit: int = LIMIT, most: int = HELD) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` for each row of ``docs`` (doc_id, text).
+
+    Each row's pre-token frequencies meet the dictionary of distinct pre-tokens. By far most of them are
+    frequent ones, of which a bounded number is broadcast, so these are never shuffled and make no hot keys; the
+    rest is joined by shuffle.
+    """
+    held = settled(spark, pretokens_of(docs), "pretokens")
+    dictionary = settled(spark, dictionary_of(held, path), "pretoken-pieces")
+    often = frequent(dictionary, most)
+    known = F.broadcast(dictionary.where(often).select("key", "pieces"))
+    rare = dictionary.where(~often).select("key", "pieces")
+    keyed = held.withColumn("key", word_key())
+    tokens = F.col("n") * F.col("pieces")
+    met = keyed.join(known, "key", "left").select("row", "doc_id", "n_bytes", tokens.alias("tokens"))
+    if not rare.isEmpty():
+        kind = dict(docs.dtypes)["doc_id"]
+        unmet = keyed.where("word is not null").select("row", "key", "n").join(known, "key", "left_anti")
+        met = met.unionAll(unmet.join(rare, "key").select(
+            "row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), tokens.alias("tokens")))
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
+                                  F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"))
+    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -118,4 +169,4 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("piece_bpe_32k.model")
-    return counted(documents_of(spark, sf_dir), path)
+    return counted(spark, documents_of(spark, sf_dir), path)

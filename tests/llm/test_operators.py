@@ -9,9 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from caselight.llm import decontamination, extraction, ngram_join, packing, passages, queries, quality, secrets, sharding
+from caselight.llm import decontamination, extraction, ngram_join, packing, passages, queries, quality, secrets, sharding, token_counts
 from caselight.llm.secret_rules import RULES, trigram_query
-from caselight.llm.token_counts import token_counts
 from caselight.llm.word_ids import WordIds
 from tests.llm import brute
 from tests.llm.conftest import PAGES, SMALL
@@ -360,6 +359,21 @@ def test_token_counts(spark, folder):
         (i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in documents(folder))
 
 
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_token_counts_with_some_pretokens_joined_by_shuffle(spark, tmp_path, most):
+    """Frequent, rare and long pre-tokens, texts without any, repeated rows and ids, in one table."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = [(i, f"the cat  w{i} sat\n\non x{i % 7} " + "y" * (30 * (i % 5))) for i in range(200)]
+    docs += [(3, None), (3, ""), (None, "the cat"), (None, "the cat"), (7, "\n" * 70 + "z" * 500), (8, "é" * 5000 + " " * 100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = token_counts.counted(spark, frame, path, most=most).collect()
+    assert in_order(tuple(r) for r in rows) == in_order(
+        (i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in docs)
+
+
 def test_tokenizers_agree_on_odd_strings():
     import random
 
@@ -370,7 +384,9 @@ def test_tokenizers_agree_on_odd_strings():
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)]
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    assert token_counts(path, texts) == [len(library.encode(t)) for t in texts]
+    owner, words, n = token_counts.frequencies(texts)
+    pieces = token_counts.pretoken_pieces(path, words.to_pylist()) * n
+    assert np.bincount(owner, pieces, len(texts)).tolist() == [len(library.encode(t)) for t in texts]
     coder = WordIds(public_tokenizers.path("word_bpe_49k.json"))
     assert [x.tolist() for x in coder.of(texts)] == [
         e.ids for e in coder.library.encode_batch(texts, add_special_tokens=False)]
