@@ -17,8 +17,10 @@ from caselight.llm.shared import documents_of, settled
 LIMIT = 4096
 #: Texts of a batch are split together up to this many characters.
 TOGETHER = 4_000_000
-#: Pre-tokens, the most frequent ones, whose counts are broadcast; the others are joined by shuffle.
+#: Pre-tokens, the most frequent ones, whose counts are broadcast; the others are shuffled.
 HELD = 200_000
+#: Rows of the frequency table that are read to tell which ones these are.
+SAMPLE = 4_000_000
 #: Bytes of a pre-token that is its own join key; a digest stands for a longer one.
 KEY_BYTES = 64
 
@@ -111,52 +113,71 @@ def word_key() -> Column:
         F.concat(F.lit("\n\n"), F.sha2(F.encode("word", "utf-8"), 256)))
 
 
-def dictionary_of(held: DataFrame, path: str) -> DataFrame:
-    """(key, df, pieces): each distinct pre-token, in how many rows it is, and its pieces, counted once."""
+def frequent(spark: SparkSession, held: DataFrame, path: str, most: int = HELD) -> DataFrame:
+    """(key, pieces) of the most frequent pre-tokens, ``most`` at the most, written.
+
+    Which ones these are is read off a bounded sample of ``held``; it decides how a pre-token meets its count, not what
+    is counted.
+    """
+    words = held.where("word is not null")
+    share = min(1.0, SAMPLE / max(1, held.count()))
+    seen = words.sample(share, seed=6) if share < 1 else words
+    seen = settled(spark, seen.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "pretokens-seen")
+    digits = F.length(F.bin("df"))
+    left, least = most, 65
+    for r in seen.groupBy(digits.alias("digits")).count().orderBy(F.desc("digits")).collect():  # 64 rows at most
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["digits"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces = pretoken_pieces(path, batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("df"), pa.array(pieces)], ["word", "df", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(pieces)], ["word", "pieces"])
 
-    distinct = held.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    return distinct.mapInArrow(count, "word string, df long, pieces long").select(word_key().alias("key"), "df", "pieces")
+    made = seen.where(digits >= least).select("word").mapInArrow(count, "word string, pieces long")
+    return settled(spark, made.select(word_key().alias("key"), "pieces"), "pretoken-pieces")
 
 
-def frequent(dictionary: DataFrame, most: int = HELD) -> Column:
-    """Condition for the most frequent pre-tokens, in steps of powers of two, ``most`` of them at most."""
-    digits = F.length(F.bin("df"))
-    left, least = most, 65
-    for r in dictionary.groupBy(digits.alias("digits")).count().orderBy(F.desc("digits")).collect():  # 64 rows at most
-        if r["count"] > left:
-            break
-        left, least = left - r["count"], r["digits"]
-    return digits >= least
+def rare_tokens(held: DataFrame, path: str) -> DataFrame:
+    """(row, tokens) of the pre-tokens in ``held`` (row, word, n): filed by pre-token, each distinct one is counted once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, int] = (None, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            known = words[0] == last[0]  # words are in order, so only the first may go on from the batch before
+            pieces = pretoken_pieces(path, words[1:] if known else words)
+            if known:
+                pieces = np.concatenate([[last[1]], pieces])
+            last = words[-1], int(pieces[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(pieces[codes] * batch.column("n").to_numpy())], ["row", "tokens"])
+
+    return held.repartition("word").sortWithinPartitions("word").mapInArrow(count, "row long, tokens long")
 
 
 def counted(spark: SparkSession, docs: DataFrame, path: str, limit: int = LIMIT, most: int = HELD) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` for each row of ``docs`` (doc_id, text).
 
-    Each row's pre-token frequencies meet the dictionary of distinct pre-tokens. By far most of them are
+    Each row's pre-token frequencies meet the pieces of the distinct pre-tokens. By far most of them are
     frequent ones, of which a bounded number is broadcast, so these are never shuffled and make no hot keys; the
-    rest is joined by shuffle.
+    rest is shuffled once, by pre-token.
     """
+    kind = dict(docs.dtypes)["doc_id"]
     held = settled(spark, pretokens_of(docs), "pretokens")
-    dictionary = settled(spark, dictionary_of(held, path), "pretoken-pieces")
-    often = frequent(dictionary, most)
-    known = F.broadcast(dictionary.where(often).select("key", "pieces"))
-    rare = dictionary.where(~often).select("key", "pieces")
+    known = F.broadcast(frequent(spark, held, path, most))
     keyed = held.withColumn("key", word_key())
-    tokens = F.col("n") * F.col("pieces")
-    met = keyed.join(known, "key", "left").select("row", "doc_id", "n_bytes", tokens.alias("tokens"))
-    if not rare.isEmpty():
-        kind = dict(docs.dtypes)["doc_id"]
-        unmet = keyed.where("word is not null").select("row", "key", "n").join(known, "key", "left_anti")
-        met = met.unionAll(unmet.join(rare, "key").select(
-            "row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), tokens.alias("tokens")))
-    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
-                                  F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"))
+    met = keyed.join(known, "key", "left").select(
+        "row", "doc_id", "n_bytes", (F.col("n") * F.col("pieces")).alias("tokens"))
+    unmet = keyed.where("word is not null").join(known, "key", "left_anti").select("row", "word", "n")
+    both = met.unionAll(rare_tokens(unmet, path).select(
+        "row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), "tokens"))
+    sums = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
+                                   F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
