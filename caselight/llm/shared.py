@@ -18,10 +18,11 @@ BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that lineage is short and work is done once."""
+def settled(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written (with writer ``options``) to the shared folder and read back, so that lineage is short and
+    work is done once."""
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

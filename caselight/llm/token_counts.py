@@ -19,6 +19,8 @@ LIMIT = 4096
 TOGETHER = 4_000_000
 #: Pre-tokens, the most frequent ones, whose counts are broadcast; the others are shuffled.
 HELD = 200_000
+#: Size up to which a file of the frequency table writes its pre-tokens once, as a dictionary.
+DICTIONARY_BYTES = 16 << 20
 #: Rows of the frequency table that are read to tell which ones these are.
 SAMPLE = 4_000_000
 #: Bytes of a pre-token that is its own join key; a digest stands for a longer one.
@@ -168,7 +170,7 @@ def counted(spark: SparkSession, docs: DataFrame, path: str, limit: int = LIMIT,
     rest is shuffled once, by pre-token.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    held = settled(spark, pretokens_of(docs), "pretokens")
+    held = settled(spark, pretokens_of(docs), "pretokens", **{"parquet.dictionary.page.size": str(DICTIONARY_BYTES)})
     known = F.broadcast(frequent(spark, held, path, most))
     keyed = held.withColumn("key", word_key())
     met = keyed.join(known, "key", "left").select(
