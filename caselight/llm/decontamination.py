@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +24,16 @@ LEAST_SCORE = 0.6
 #: Alignments are made over a stretch of the document this much longer than the item, on each side of its seeds.
 SLACK_WORDS = 8
 
+_OTHER_PUNCTUATION = regex.compile(r"[\p{P}\p{S}]+")
 _PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
 def normal_words(text: str | None) -> Words:
-    """Words lower-cased, ASCII punctuation read as spaces."""
-    return Words((text or "").lower(), fold=False, table=_PUNCTUATION)
+    """Words lower-cased, punctuation and symbols read as spaces."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _OTHER_PUNCTUATION.sub(" ", text)
+    return Words(text, fold=False, table=_PUNCTUATION)
 
 
 @dataclass
@@ -106,8 +111,34 @@ def local_match(item: list[bytes], stretch: list[bytes]) -> tuple[float, int, in
     return best / (MATCH * len(item)), end - back, end
 
 
+def stretches(item: list[bytes], words: list[bytes], low: int, high: int) -> list[tuple[float, int, int]]:
+    """(score, start, end) of the item's matches in words [low, high), the best first, then what lies beside it."""
+    found = []
+    todo = [(low, high)]
+    while todo:
+        low, high = todo.pop()
+        held = set(words[low:high])
+        # a score is no more than the share of the item's words that the stretch holds
+        if sum(w in held for w in item) / len(item) < LEAST_SCORE:
+            continue
+        score, start, end = local_match(item, words[low:high])
+        if score >= LEAST_SCORE:
+            found.append((round(score, 6), low + start, low + end))
+            todo += [(low, low + start), (low + end, high)]
+    return found
+
+
+def apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of stretches that overlap, the best one; of equal ones the first."""
+    kept: list[tuple[float, int, int]] = []
+    for score, start, end in sorted(set(found), key=lambda m: (-m[0], m[1], m[2])):
+        if all(end <= a or b <= start for _, a, b in kept):
+            kept.append((score, start, end))
+    return kept
+
+
 def matches(words: Words, seeds: Seeds, known: np.ndarray, owners: dict[int, list[int]]) -> list[tuple]:
-    """(item_id, score, start, end) of the items that a document holds, best stretch of each."""
+    """(item_id, score, start, end) of the items that a document holds, for each stretch that holds one."""
     runs = words.runs(SEED_WORDS)
     hits, at = _places(known, runs)
     by_item: dict[int, list[int]] = defaultdict(list)
@@ -118,24 +149,16 @@ def matches(words: Words, seeds: Seeds, known: np.ndarray, owners: dict[int, lis
     for k, positions in by_item.items():
         item = seeds.items[k]
         reach = len(item.words) + SLACK_WORDS
-        best: tuple[float, int, int] | None = None
+        here: list[tuple[float, int, int]] = []
         first = last = positions[0]
         for position in [*positions[1:], None]:
             if position is not None and position - first <= reach:
                 last = position
                 continue
-            low, high = max(0, first - reach), min(words.n, last + reach + SEED_WORDS)
-            stretch = words.words[low:high]
-            held = set(stretch)
-            # a score is no more than the share of the item's words that the stretch holds
-            if sum(w in held for w in item.words) / len(item.words) >= max(LEAST_SCORE, best[0] if best else 0):
-                score, start, end = local_match(item.words, stretch)
-                if score >= LEAST_SCORE and (best is None or score > best[0]):
-                    best = (score, low + start, low + end)
+            here += stretches(item.words, words.words, max(0, first - reach), min(words.n, last + reach + SEED_WORDS))
             if position is not None:
                 first = last = position
-        if best:
-            found.append((item.item_id, round(best[0], 6), best[1], best[2]))
+        found += [(item.item_id, *m) for m in apart(here)]
     return sorted(found, key=repr)
 
 
@@ -183,8 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document holds; documents without one give no row.
 
-    Null and empty texts hold none; items of fewer than three words (or null) match nothing; items with
-    equal texts each match; repeated rows each give their rows; null doc_ids stay; empty tables give no
+    An item that a document holds several times gives a row for each. Null and empty texts hold none; items of
+    fewer than three words (or null) match nothing; items with equal texts each match; repeated rows each give their rows; null doc_ids stay; empty tables give no
     rows; other columns are ignored.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("long"), "text")

@@ -248,6 +248,17 @@ def test_repeated_words_against_pairs_of_pages():
         assert (found == expected).all()
 
 
+def test_copies_of_a_page_without_article_keep_their_text(spark, tmp_path):
+    shared = "all of the pages of this host say exactly this here"
+    html = [f"<p>{shared}</p><p>{prose(i, 30)}</p>" for i in (1, 2, 3, 4, 4, 4, 4)]
+    rows = [(i, f"http://h.example/{i}", h) for i, h in enumerate(html)] + [(6, "http://h.example/6", html[-1])] * 3
+    expected = in_order((p, prose(min(p, 3) + 1, 30)) for p, _, _ in rows)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 5):
+        made = extraction.extracted(spark, frame.repartition(parts)).collect()
+        assert in_order((r["page_id"], r["text"]) for r in made) == expected
+
+
 # ---- 5
 
 def test_exactly_repeated_passages_are_found(spark, folder):
@@ -428,6 +439,18 @@ def test_heavily_edited_copies_are_found(spark, tmp_path, exact):
     assert all(r["score"] >= 0.6 for r in rows)
 
 
+def test_every_stretch_that_holds_an_item_and_any_punctuation(spark, tmp_path):
+    item = prose(70, 40).split()
+    edited = [*item[:20], "other", *item[21:]]
+    docs = [(1, " ".join(item + prose(71, 200).split() + item)), (2, " ".join(item + item + edited)),
+            (3, " \u2014 ".join(item)), (4, "\u201c" + "\u201d, \u201c".join(item) + "\u201d"), (5, prose(72, 300))]
+    rows = queries.QUERIES["op7_decontamination"](spark, write(tmp_path, docs, [(9, " ".join(item))])).collect()
+    found = sorted((r["doc_id"], r["start_word"], r["end_word"], r["score"]) for r in rows)
+    # 39 of 40 words match, one does not: (39 * 2 - 1) / 80
+    assert found == [(1, 0, 40, 1.0), (1, 240, 280, 1.0), (2, 0, 40, 1.0), (2, 40, 80, 1.0), (2, 80, 120, 0.9625),
+                     (3, 0, 40, 1.0), (4, 0, 40, 1.0)]
+
+
 def test_alignment():
     r = np.random.default_rng(4)
     for _ in range(60):
