@@ -258,3 +258,21 @@ def test_failed_build_keeps_the_published_model(spark, tmp_path):
     assert open_model(spark, folder).reports.count() == 1
     with pytest.raises(ModelError, match="vocabulary"):
         build_model(bronze_tables(spark, str(tmp_path / "b")), spark, folder, max_terms=1)
+
+
+def test_blocks_of_a_chosen_size_share_tasks_and_plain_files_keep_their_order(spark, tmp_path):
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = [sub(f"{i:07}", RECVDATE="1/2/2020") for i in range(200)]
+    rows[50] = "0000050,too,short"
+    write_feed(tmp_path / "feed" / "2020Data.csv", "submissions", rows)
+    write_feed(tmp_path / "feed" / "2021Data.csv", "submissions",
+               [sub(f"{i:07}", SYMPTOM_TEXT="a\nb\nc") for i in range(200, 230)])
+    report = ingest(spark, str(tmp_path / "feed"), str(tmp_path / "bronze"), block_bytes=100)
+    assert report.rejected["2020DATA.CSV"] == 1 and spark.conf.get("spark.sql.files.maxPartitionBytes") == usual
+    loaded = bronze_table(spark, str(tmp_path / "bronze"), "submissions")
+    found = {(r.FILE_NAME, r.FILE_LINE_NO): r.CASE_ID for r in loaded.collect()}
+    first = [f"{i:07}" for i in range(200) if i != 50]
+    assert found == {("2020DATA.CSV", n): c for n, c in enumerate(first, 1)} | {
+        ("2021DATA.CSV", n): f"{199 + n:07}" for n in range(1, 31)}
+    files = list((tmp_path / "bronze" / "submissions").rglob("*.parquet"))
+    assert len(files) <= 4 * spark.sparkContext.defaultParallelism
