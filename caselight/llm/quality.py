@@ -83,6 +83,15 @@ def duplicate_lines(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
+def mean_ratios(texts: list[str], ratios: np.ndarray) -> list[float]:
+    """Mean log ratio of each text's grams (0 if none); grams, eight bytes a byte, are held for one text at a time."""
+    means = []
+    for text in texts:
+        grams = gram_buckets(text)
+        means.append(float(ratios[grams].mean()) if len(grams) else 0.0)
+    return means
+
+
 def described(docs: DataFrame, ratios: np.ndarray, columns: list[str]) -> DataFrame:
     """``columns`` with the base counts of ``text`` and ``score``, the mean log ratio of its grams (0 if none)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS doubles
@@ -90,14 +99,13 @@ def described(docs: DataFrame, ratios: np.ndarray, columns: list[str]) -> DataFr
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            grams = [gram_buckets(t) for t in texts]
             made = {c: batch.column(c) for c in columns}
             made["n_words"] = [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
             made["word_chars"] = [len(t) - sum(map(t.count, _SPACES)) for t in texts]
             made["n_symbols"] = [sum(map(t.count, _SYMBOLS)) for t in texts]
             made["n_dup_lines"] = [duplicate_lines(t) for t in texts]
             made["n_repeat_words"] = [repeat_words(t) for t in texts]
-            made["score"] = [float(shared.value[g].mean()) if len(g) else 0.0 for g in grams]
+            made["score"] = mean_ratios(texts, shared.value)
             yield pa.RecordBatch.from_pydict(made)
 
     kinds = dict(docs.dtypes)

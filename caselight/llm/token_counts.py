@@ -16,7 +16,7 @@ from caselight.llm.shared import documents_of, settled
 #: Tokens a context window holds.
 LIMIT = 4096
 #: Texts of a batch are split together up to this many characters.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 #: Pre-tokens, the most frequent ones, whose counts are broadcast; the others are shuffled.
 HELD = 200_000
 #: Size up to which a file of the frequency table writes its pre-tokens once, as a dictionary.
@@ -82,6 +82,13 @@ def frequencies(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return held // each, coded.dictionary.take(pa.array(held % each)), n
 
 
+def spans(texts: list[str]) -> list[tuple[int, int]]:
+    """Where runs of texts that are split together begin and end: ``TOGETHER`` characters each, or a little more."""
+    ends = np.cumsum([len(t) for t in texts])
+    parts = np.flatnonzero(np.diff(ends // TOGETHER)) + 1 if texts else []
+    return list(zip([0, *parts], [*parts, len(texts)]))
+
+
 def pretokens_of(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_bytes, word, n) for each row of ``docs`` (doc_id, text) and distinct pre-token; a null word
     and 0 for a text without any. ``row`` tells rows apart as long as this is written once."""
@@ -90,9 +97,7 @@ def pretokens_of(docs: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            parts = np.flatnonzero(np.diff(ends // TOGETHER)) + 1 if texts else []
-            for a, b in zip([0, *parts], [*parts, len(texts)]):
+            for a, b in spans(texts):
                 some = texts[a:b]
                 owner, words, n = frequencies(some)
                 none = np.setdiff1d(np.arange(len(some)), owner)
