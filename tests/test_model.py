@@ -87,3 +87,15 @@ def test_rebuild_gives_the_same_ids(spark, mart):
 def test_tables_are_bucketed_by_case(mart, name):
     plan = mart.table(name).groupBy("CASE_ID").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("table", ["vax_details", "reports_symptoms"])
+def test_rows_are_exchanged_once_before_they_are_counted_by_case(spark, tmp_path, table):
+    mart = small_mart(spark, tmp_path, [dict(CASE_ID="1")], [dict(CASE_ID="1", VAX_TYPE="FLU")] * 2,
+                      [dict(CASE_ID="1", SYMPTOM1="Pain", SYMPTOM2="Pain")] * 2, buckets=3)
+    filed = mart._define(table).repartition(3, "CASE_ID")  # as the store files it
+    plan = filed._jdf.queryExecution().executedPlan().toString().split("Scan")[0]
+    assert plan.count("Exchange hashpartitioning(CASE_ID") == 1
+    first_counted = plan.rindex("HashAggregate")
+    assert plan.index("Exchange hashpartitioning(CASE_ID") > first_counted  # printed from the last step to the first
+    assert filed.count() == 1
