@@ -34,8 +34,8 @@ MOST_LEVELS = 10
 #: Rows of one block, and queries that meet a block in one task.
 BLOCK_ROWS, QUERY_ROWS = 65_536, 16_384
 
-#: Scores computed at once.
-CELLS = 1 << 22
+#: Scores computed at once by a task, and by the driver, which holds the sample besides.
+CELLS, FIT_CELLS = 1 << 22, 1 << 19
 
 ROUTED = "place long, vec_id long, vector array<double>, part int"
 FOUND = "query long, rank_id long, named boolean, score double"
@@ -45,12 +45,12 @@ FOUND = "query long, rank_id long, named boolean, score double"
 
 def nearest(x: np.ndarray, to: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Rows of ``to`` with the ``k`` largest inner products for each row of ``x``; never row ``own[i]``."""
-    out, step = [], max(1, CELLS // max(1, len(to)))
+    out, step = [], max(1, FIT_CELLS // max(1, len(to)))
     for a in range(0, len(x), step):
         score = x[a : a + step] @ to.T
         if own is not None:
             score[np.arange(len(score)), own[a : a + step]] = -np.inf
-        out.append(np.argpartition(-score, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(np.negative(score, out=score), k - 1, axis=1)[:, :k].copy())  # not a view of all columns
     return np.concatenate(out)
 
 
@@ -168,6 +168,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
 
 
+def in_order(sample: pa.Table) -> np.ndarray:
+    """The vectors of ``sample`` by code, ties by their components; no component becomes an object of its own."""
+    x = _matrix(sample["vector"])
+    return x[np.lexsort((*x.T[::-1], sample["code"].to_numpy()))] if len(x) else x
+
+
 def _fewer_copies(x: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     """Of equal vectors the first ``k`` in ``order``: no query needs more."""
     x = np.ascontiguousarray(x[order] + 0.0)  # -0.0 equals 0.0
@@ -244,7 +250,7 @@ def search(spark: SparkSession, vectors: DataFrame, asks, k: int, recall_rows: i
     share = int((1 << 40) * min(1.0, recall_rows / total))
     code = F.xxhash64("vector")
     sample = rows.where(F.pmod(code, F.lit(1 << 40)) < share).groupBy("vector").agg(F.min(code).alias("code"))
-    sample = np.array([r["vector"] for r in sorted(sample.collect(), key=lambda r: (r["code"], r["vector"]))])
+    sample = in_order(sample.toArrow())
     levels = min(MOST_LEVELS, round(np.log2(max(1.0, np.sqrt(total) / 8))))
     router = fitted(sample, levels, k)
 

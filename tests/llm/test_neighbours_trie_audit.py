@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 from hashlib import sha256
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +202,21 @@ def test_shares_are_exact_beyond_long_products(spark):
 def test_cut_uses_the_unsigned_checksum(spark):
     got = spark.range(50).select("id", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(6))).collect()
     assert [r[1] for r in got] == [zlib.crc32(str(r[0]).encode()) % 6 for r in got]
+
+
+def test_the_fit_holds_few_scores_at_once():
+    x = np.random.default_rng(3).standard_normal((2048, 8))
+    tracemalloc.start()
+    found = neighbours.nearest(x, x, 16, np.arange(len(x)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # all scores are 32 MB, and there were three such arrays
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert all(set(a) == set(b) for a, b in zip(found, np.argsort(-score, axis=1)[:, :16], strict=True))
+
+
+def test_the_sample_comes_by_code_and_then_by_components():
+    rows = [([2.0, 1.0], 7), ([1.0, 9.0], 7), ([5.0, 0.0], -3), ([1.0, 2.0], 7)]
+    table = pa.table({"vector": [r[0] for r in rows], "code": [r[1] for r in rows]})
+    assert neighbours.in_order(table).tolist() == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
