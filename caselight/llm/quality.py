@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm.shared import Words, documents_of, settled, small_side
+from caselight.llm.shared import Words, documents_of, settled, small_batches, small_side
 
 #: Buckets of the two multinomials: a fixed size, whatever the corpus.
 BUCKETS = 1 << 16
@@ -42,7 +42,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             for text, trusted in zip(*(batch.column(c).to_pylist() for c in ("text", "trusted"))):
                 grams = gram_buckets(text)
                 np.add.at(sums[0], grams, 1)
@@ -97,7 +97,7 @@ def described(docs: DataFrame, ratios: np.ndarray, columns: list[str]) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS doubles
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             made = {c: batch.column(c) for c in columns}
             made["n_words"] = [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
