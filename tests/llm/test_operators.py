@@ -533,3 +533,56 @@ def test_weights(spark):
 
 def test_benchmark_rows_are_odd():
     assert {k for k, _ in odd_benchmark()} == {1, 2, 3, 4, 5, 6, None}
+
+
+def test_every_text_of_a_signature_is_compared(spark, tmp_path):
+    """What one text repeats of a place does not hide that others repeat more around it, nor which of them is the least."""
+    core, left, right = prose(9041, 60), prose(9042, 45), prose(9043, 45)
+    docs = [(i, " ".join([prose(i, 70), core, prose(400 + i, 70)])) for i in range(20, 30)]
+    docs += [(i, " ".join([prose(i, 70), left, core, prose(400 + i, 70)])) for i in (10, 40)]
+    docs += [(i, " ".join([prose(i, 70), core, right, prose(400 + i, 70)])) for i in (11, 41)]
+    frame = spark.read.parquet(f"{write(tmp_path, docs)}/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: (r["start_word"], r["end_word"], r["other_id"]) for r in passages.passages(spark, frame).collect()}
+    assert set(found) == {d for d, _ in docs}
+    for d, (start, end, other) in found.items():
+        assert (start <= 70 and end >= 130) if d < 40 and d > 11 else (start <= 70 and end >= 175)
+        assert other == (11 if d == 10 else 10), (d, other)
+
+
+@pytest.mark.parametrize("turn", range(4))
+def test_pairs_left_out_tell_nothing_new(turn):
+    """Spans and least names of all pairs lined up, and of those that can tell something new, in different orders."""
+    pieces = [prose(700 + 10 * turn + k, 60 + 7 * k).split() for k in range(6)]
+    rng = np.random.default_rng(turn)
+    docs = []
+    for k in range(14):
+        words = [w for p in rng.choice(6, 3, replace=False) for w in [*pieces[p], *prose(1000 * turn + 50 * k + int(p), 30).split()]]
+        for at in rng.integers(0, len(words), 4):
+            words[at] = f"edit{k}"
+        docs.append(brute_runs(words))
+    codes = np.unique(np.concatenate(docs), return_inverse=True)[1]
+    parts = np.split(codes, np.cumsum([len(d) for d in docs])[:-1])
+    joined = [passages.joined_windows(passages.all_windows(d), np.unique(np.concatenate(
+        [s for e in docs for _, s in passages.all_windows(e)]))) for d in docs]
+
+    def texts():
+        return [passages._Text(c, 100 + (7 * k) % 14, s.view(np.int64), p) for k, (c, (s, p)) in enumerate(zip(parts, joined))]
+
+    def state(made):
+        return [t.least.tolist() for t in made]
+
+    pairs = [(i, j) for i in range(14) for j in range(i)]
+    one, two = texts(), texts()
+    passages.compared(one, pairs)
+    for i, j in pairs:  # a pair at a time, so that no other one rules it out
+        fresh = texts()
+        for a, b, c, d, e, f in passages.compared(fresh, [(i, j)]):
+            two[a].cover(c, d, two[b].name)
+            two[b].cover(e, f, two[a].name)
+    assert state(one) == state(two)
+
+
+def brute_runs(words):
+    from caselight.llm.shared import Words
+
+    return Words(" ".join(words)).runs(5)
