@@ -95,3 +95,20 @@ def test_a_membership_reads_one_folder_of_the_postings(mart, field, table):
     read = found.select("_metadata.file_path").distinct().count() if "_metadata" in found.columns else None
     folders = {f.split("part=")[1].split("/")[0] for f in every.inputFiles()}
     assert len(folders) > 1 and read in (None, 1)
+
+
+def test_a_full_refresh_does_not_read_the_files_that_stay(spark, tmp_path, monkeypatch):
+    """Raw rows that the model holds by case are taken from there; the result is that of a build from all files."""
+    bronze, folder = str(tmp_path / "b"), str(tmp_path / "m")
+    ingest(spark, feed(tmp_path / "a", 2019, [(f"{i:07d}", "1") for i in range(20)]), bronze)
+    ingest(spark, feed(tmp_path / "c", 2020, [(f"{i:07d}", "1") for i in range(20, 30)]), bronze, append=True)
+    build_from_bronze(spark, bronze, folder, 3)
+    # one file comes again with other cases and a follow-up
+    again = [("0000003", "2"), *((f"{i:07d}", "1") for i in range(40, 60))]
+    ingest(spark, feed(tmp_path / "d", 2020, again, term="Ache", manu="N"), bronze, append=True)
+    with monkeypatch.context() as patch:
+        patch.setattr(refresh, "build_from_bronze", lambda *a, **b: pytest.fail("all files are read again"))
+        found = refresh_model(spark, bronze, folder)
+    assert found.full and found.mart.store.buckets == 3 and found.mart.reports.count() == 40
+    same_as_full(spark, tmp_path, bronze, found.mart, "anew")
+    assert refresh_model(spark, bronze, folder).touched == 0
